@@ -13,7 +13,8 @@ from __future__ import annotations
 import html
 import json
 import math
-from collections import Counter
+import re as plain
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,9 +51,6 @@ INSTRUCTIONS = r"""[\[(<*]\s?(?:please )?(?:insert|enter|add|type|fill in|your|h
 [\[(<*]\s?[^\])>*\n|.\[(<]{1,50}\b(?:here|goes here|ici|aquí|hier|einfügen|eintragen|ergänzen|à compléter|à remplir|por completar)\s?[\])>*]
 \*\*\*\s?[^*\n|]{2,60}\s?\*\*\*"""
 EMPTIES = r"\[object Object\]|\(null\)|#N/A(?!\w)|#REF!|#VALUE!|#NAME\?|#DIV/0!"
-#: Those that are words as well.
-VALUES = r"(?<![\w.-])(?:null|NULL|undefined|NaN|nan|None|nil)(?![\w-]|\.\w)"
-
 _V = r"(?:null|NULL|undefined|NaN|nan|None|nil)"
 #: Such a word where the fact itself should stand.
 FACTS = rf"""'''{_V}'''
@@ -136,17 +134,22 @@ def _any(patterns: str) -> str:
 
 
 _SLOT = re.compile(_any(SLOTS.replace("MAGIC__", "(?:" + "|".join(MAGIC) + ")__")))
-_TRUSTED = [_SLOT, re.compile(_any(FACTS)), re.compile(_any(INSTRUCTIONS), re.I), re.compile(EMPTIES, re.I)] + [re.compile(_any(p), re.I) for p in (FILLER, ERRORS, NOTICES)]
+#: Patterns for the passage as it is, and patterns in lower case for the passage in lower case, which is cheaper than ignoring case.
+_AS_IS = [_SLOT, plain.compile(_any(FACTS))]
+_LOWER = [plain.compile(_any(p)) for p in (INSTRUCTIONS, EMPTIES.lower(), FILLER, ERRORS, NOTICES)]
 
 _CODE = re.compile(r"<(code|pre|nowiki|syntaxhighlight|source|math|kbd|samp)\b(?:[^<>]*[^/<>])?>.*?</\1\s*>", re.I | re.S)
-_MARKS = re.compile(r"<!--.*?-->|[​-‏⁠﻿­]", re.S)
+_MARKS = re.compile(r"<!--.*?-->|[\u200b-\u200f\u2060\ufeff\u00ad]|(?i:__(?:" + "|".join(MAGIC) + r")__)", re.S)
 _QUOTED = re.compile(
     r"""(?<!(?:[={\[]|":)\s?)(?<!\w)"[^"\n{}]{3,240}"(?!\s?[:}])|«[^«»]{2,240}»|„[^„“”]{2,240}[“”]|“[^“”]{2,240}”|(?<!')''(?!')[^'\n]{2,240}(?:'\p{L}[^'\n]{0,200}){0,4}''(?!')|(?<![={\[]\s?)(?<![\w'])'[^'\n{}]{8,240}(?:(?<=\w)'\w[^'\n]{0,200}){0,3}'(?![\w'])"""
 )
 _MOJIBAKE = re.compile(r"[\u00c2-\u00f4][\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,3}")
 _PART = re.compile(r"\n\s*\n|</?(?:p|h[1-6]|li|div|tr|td|body|title|html|head)\b[^<>]*>|\n(?=[|!=*#{}])", re.I)
 _DOUBLE = re.compile(r"\\n|\\t")
-_PIECE = re.compile(r"(?P<magic>__(?:" + "|".join(MAGIC) + r")__)|(?P<empty>(?i:" + EMPTIES + r"))|(?P<value>" + VALUES + r")|(?P<file>[\w-]+\.(?:svg|jpe?g|png|gif|webp|ogg|pdf)\b)|(?P<dot>\p{L}[\w-]*(?:\.\p{L}[\w-]*)+)|\p{L}[\p{L}\p{M}]*|(?P<num>\d+)|([^\w\s.,;])\7*|_+")
+_PIECE = plain.compile(r"[^\W\d_]+(?:\.[^\W\d_]\w*)*|\d+|_+|'+|\{+|\}+|\[+|\]+|=+|\|+|@+|%+|\*+|[^\w\s.,;]")
+#: Names of files by their endings, and programs' empty values as they are spelled.
+_FILES = ("svg", "jpg", "jpeg", "png", "gif", "webp", "ogg", "pdf")
+_VALUES = {"null", "NULL", "undefined", "NaN", "nan", "None", "nil"}
 
 
 def _mend(text: str) -> str:
@@ -191,41 +194,67 @@ def passages(text: str | None) -> Iterator[str]:
             yield _QUOTED.sub(" ■ ", " ".join(part.split()))
 
 
-def pieces(passage: str) -> tuple[list[str], list[tuple[int, int]]]:
-    """Words and marks of a passage with their places.  Numbers, dotted names and empty values are told by kind."""
-    words, places = [], []
-    for m in _PIECE.finditer(passage):
-        kind = m.lastgroup
-        words.append(m.group(0).casefold() if kind is None else f"▸{kind}")
-        places.append(m.span())
-    return words, places
+class _Kinds(dict):
+    """What a word or mark is told as: itself in lower case, or its kind."""
+
+    def __missing__(self, piece: str) -> str:
+        if piece[0].isdigit():
+            kind = "▸number"
+        elif piece in _VALUES:
+            kind = "▸value"
+        elif "." in piece:
+            kind = "▸file" if piece.rpartition(".")[2].lower() in _FILES else "▸dotted"
+        else:
+            kind = piece.casefold()
+        if len(self) > 200_000:
+            self.clear()
+        self[piece] = kind
+        return kind
+
+
+_KIND = _Kinds()
+
+
+def pieces(passage: str) -> list[str]:
+    """Words and marks of a passage.  Numbers, dotted names, files and empty values are told by kind."""
+    return [_KIND[p] for p in _PIECE.findall(passage)]
 
 
 def _trusted_at(passage: str) -> list[tuple[int, int]]:
-    return [m.span() for p in _TRUSTED for m in p.finditer(passage)]
+    low = passage.lower()
+    return [m.span() for p in _AS_IS for m in p.finditer(passage)] + [m.span() for p in _LOWER for m in p.finditer(low)]
+
+
+def is_trusted(passage: str) -> bool:
+    low = passage.lower()
+    return any(p.search(passage) for p in _AS_IS) or any(p.search(low) for p in _LOWER)
 
 
 class ResidueModel:
-    """Weights of words and word pairs: log odds of residue, and the threshold on a window's sum."""
+    """Weights of words and word pairs (log odds of residue), and the prior odds of a window."""
 
-    def __init__(self, words: dict[str, float], pairs: dict[str, float], unknown: float, prior: float, window: int):
+    def __init__(self, words: dict[str, float], pairs: dict[str, dict[str, float]], unknown: float, prior: float, window: int):
         self.words, self.pairs, self.unknown, self.prior, self.window = words, pairs, unknown, prior, window
 
     def score(self, text: str | None) -> float:
-        """The best window's log odds; minus infinity for a text without words."""
-        best = -math.inf
-        get, pair, unknown = self.words.get, self.pairs.get, self.unknown
+        """The log odds of the best window, or minus infinity if none is more likely residue than not."""
+        best = 0.0
+        get, pairs, unknown, none = self.words.get, self.pairs.get, self.unknown, {}
         for passage in passages(text):
-            words, _ = pieces(passage)
+            words = pieces(passage)
             if not words:
                 continue
             w = [get(x, unknown) for x in words]
-            if max(w) <= 0:
-                best = max(best, self.prior + max(w))
-                continue
-            p = [0.0, *[pair(f"{a} {b}", 0.0) for a, b in zip(words, words[1:])]]
-            best = max(best, self.prior + _best_window(w, p, self.window))
-        return best
+            p = [0.0, *[pairs(a, none).get(b, 0.0) for a, b in zip(words, words[1:])]]
+            # No window can beat the best run of any length, which one pass tells.
+            top = run = -math.inf
+            for x, y in zip(w, p):
+                run = run + x + y if run + y > 0 else x
+                if run > top:
+                    top = run
+            if self.prior + top > best:
+                best = max(best, self.prior + _best_window(w, p, self.window))
+        return best if best > 0 else -math.inf
 
 
 def _best_window(words: list[float], pairs: list[float], window: int) -> float:
@@ -256,14 +285,13 @@ def fit(texts: list[str], window: int = 8, rounds: int = 4, unlabelled_weight: f
     for t in texts:
         own: set[str] = set()
         for passage in passages(t):
-            words, places = pieces(passage)
+            words = pieces(passage)
             if not words:
                 continue
             mark = [0] * len(words)
-            for a, b in _trusted_at(passage):
-                for i, (x, y) in enumerate(places):
-                    if x < b and y > a:
-                        mark[i] = 1
+            if spans := _trusted_at(passage):
+                for i, m in enumerate(_PIECE.finditer(passage)):
+                    mark[i] = int(any(m.start() < b and m.end() > a for a, b in spans))
             rows.append((words, mark))
             own.update(words)
             own.update(f"{a} {b}" for a, b in zip(words, words[1:]))
@@ -293,7 +321,7 @@ def fit(texts: list[str], window: int = 8, rounds: int = 4, unlabelled_weight: f
             k += 1
             i = j
     if not any(label):
-        return ResidueModel({}, {}, -1.0, -math.inf, window)
+        return ResidueModel({}, {}, -1.0, -1e9, window)
     feature, where, positive = np.array(flat), np.array(owner), np.array(label, bool)
     prior = math.log(positive.sum() / max((~positive).sum(), 1))
     # Both classes are smoothed towards the words' frequency in all windows; a flat prior would make rare words speak for the smaller class.
@@ -307,7 +335,11 @@ def fit(texts: list[str], window: int = 8, rounds: int = 4, unlabelled_weight: f
         odds[unknown] = min(odds[unknown], 0.0)
         total = np.bincount(where, odds[feature], minlength=k) + prior
         chance = np.where(positive, 1.0, 1 / (1 + np.exp(-np.clip(total, -30, 30))))
-    return ResidueModel({w: float(odds[i]) for w, i in vocabulary.items()}, {w: float(odds[i]) for w, i in pairs.items()}, float(odds[unknown]), prior, window)
+    following: dict[str, dict[str, float]] = defaultdict(dict)
+    for w, i in pairs.items():
+        a, b = w.split(" ")
+        following[a][b] = float(odds[i])
+    return ResidueModel({w: float(odds[i]) for w, i in vocabulary.items()}, dict(following), float(odds[unknown]), prior, window)
 
 
 def fit_on(documents: DataFrame, text: str = "text", key: str = "doc_id", fit_chars: int = 6_000_000) -> ResidueModel:
@@ -323,9 +355,9 @@ def fit_on(documents: DataFrame, text: str = "text", key: str = "doc_id", fit_ch
 
 
 def residue_scores(documents: DataFrame, model: ResidueModel, text: str = "text", key: str = "doc_id", sure_score: float = 60.0) -> DataFrame:
-    """``key``, ``score`` (log odds of the best passage) and ``confirmed``.
+    """``key``, ``score`` (log odds of the best passage, null if none is likely residue) and ``confirmed``.
 
-    A score above zero is confirmed if the visible text holds a trusted mark, or if it reaches
+    A score is confirmed if the visible text holds a trusted mark, or if it reaches
     ``sure_score``, so that residue worded in other ways is kept and a chance likeness isn't.
     Null and empty texts, and texts of code and quotations only, score null and aren't confirmed.
     """
@@ -336,8 +368,8 @@ def residue_scores(documents: DataFrame, model: ResidueModel, text: str = "text"
         m = sent.value
         for s in batches:
             scores = [m.score(t) for t in s]
-            sure = [v > 0 and (v >= sure_score or any(_trusted_at(p) for p in passages(t))) for v, t in zip(scores, s)]
-            yield pd.DataFrame({"score": pd.Series([v if v > -math.inf else None for v in scores], dtype="float64"), "confirmed": pd.Series(sure, dtype="bool")})
+            sure = [v > 0 and (v >= sure_score or any(map(is_trusted, passages(t)))) for v, t in zip(scores, s)]
+            yield pd.DataFrame({"score": pd.Series([v if v > 0 else None for v in scores], dtype="float64"), "confirmed": pd.Series(sure, dtype="bool")})
 
     return documents.select(key, score(F.col(text)).alias("r")).select(key, "r.score", "r.confirmed")
 
