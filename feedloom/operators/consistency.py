@@ -179,7 +179,7 @@ def slow_category(lags: DataFrame, factor: int, slow: int) -> DataFrame:
     ``lags`` has partition_name, ``place`` (order of asking), ``category`` and ``lag``, null for a member without a session.
     A taker is fast if it lags not at all or less than ``slow`` times its category.
     """
-    fast = F.coalesce((F.col("lag") <= 0) | (F.col("lag") < F.lit(slow) * F.col("category")), F.lit(False)).cast("int")
+    fast = F.coalesce((F.col("lag") <= 0) | (F.col("lag") < F.lit(slow).cast("bigint") * F.col("category")), F.lit(False)).cast("int")
     before = Window.partitionBy("partition_name").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     rows = lags.withColumn("__fast", F.coalesce(F.sum(fast).over(before), F.lit(0)))
     return rows.groupBy("partition_name").agg(F.coalesce(F.max(F.when(F.col("__fast") < factor, F.col("category"))), F.lit(1)).alias("category"))

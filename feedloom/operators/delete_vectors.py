@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedloom.sources import shared
 
@@ -26,7 +27,7 @@ from feedloom.sources import shared
 BLOCK = 32_768
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _complement(bits: pd.Series, rows: pd.Series) -> pd.Series:
     """Of the first ``rows`` bits, those that are not set."""
 
@@ -40,7 +41,7 @@ def _complement(bits: pd.Series, rows: pd.Series) -> pd.Series:
     return pd.Series([one(b or b"", int(n)) for b, n in zip(bits, rows)])
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _words(bits: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in bits:
         yield s.map(lambda b: np.frombuffer(b, "<i8"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.keys import norm_prefix, prefix_upper_text
@@ -273,7 +273,7 @@ def snapshot_at_tx(spark, sf_dir):
     return _cols(resolve.live(changes.snapshot_at(log, cut)))
 
 
-@query(_W + f" SELECT {_COLS}, replica FROM w LEFT JOIN (VALUES (0, 500), (1, 1500)) c(r, at) ON replica = r WHERE tx_id > coalesce(at, -1)")
+@query(_W + f" SELECT {_COLS}, replica FROM w LEFT JOIN (VALUES (0, 500), (1, 1500)) c(r, done) ON replica = r WHERE tx_id > coalesce(done, -1)")
 def cursor_resume(spark, sf_dir):
     cursors = spark.createDataFrame([(0, 500), (1, 1500)], "replica bigint, tx_id bigint")
     return changes.resume(w(spark, sf_dir), cursors).select("tx_id", "seq", "prefix", "key", "value", "ts_id", "tombstoned", "version", "replica")
@@ -318,20 +318,20 @@ for _fate in ("tombstone", "ttl", "disposal"):
 
 @query(
     _FATES
-    + """ SELECT count_if(fate = 'clobber') AS clobbers, count_if(fate = 'tombstone') AS tombstones, count_if(fate = 'ttl') AS ttls, count_if(fate = 'disposal') AS disposals, count_if(fate = 'keep') AS keeps,
+    + """ SELECT count(*) FILTER (fate = 'clobber') AS clobbers, count(*) FILTER (fate = 'tombstone') AS tombstones, count(*) FILTER (fate = 'ttl') AS ttls, count(*) FILTER (fate = 'disposal') AS disposals, count(*) FILTER (fate = 'keep') AS keeps,
   min(ts_id) FILTER (fate = 'keep' AND NOT tombstoned) AS oldest_ts_id, min(version) FILTER (fate = 'keep' AND NOT tombstoned) AS oldest_version,
   min(ts_id) FILTER (fate = 'keep' AND tombstoned) AS oldest_tombstoned_ts_id, min(version) FILTER (fate = 'keep' AND tombstoned) AS oldest_tombstoned_version FROM c"""
 )
 def compaction_stats(spark, sf_dir):
     return retention.purge_stats(w(spark, sf_dir), _CUT).select(
-        *[F.col(f"{f}s").cast("decimal(38,0)").cast("bigint").alias(f"{f}s") for f in ("clobber", "tombstone", "ttl", "disposal", "keep")], "oldest_ts_id", "oldest_version", "oldest_tombstoned_ts_id", "oldest_tombstoned_version"
+        *[f"{f}s" for f in ("clobber", "tombstone", "ttl", "disposal", "keep")], "oldest_ts_id", "oldest_version", "oldest_tombstoned_ts_id", "oldest_tombstoned_version"
     )
 
 
 @query(
     _FATES.replace("version < 30000", "version < 0").replace("version < 10000", "version < 0").replace("version < 15000", "version < 0")
-    + """ SELECT count_if(fate = 'clobber') AS clobbers, count_if(fate = 'keep') AS held,
-  coalesce(bool_or(fate = 'keep' AND ((tombstoned AND version < 20) OR (NOT tombstoned AND version < 10))), false) OR (count_if(fate = 'clobber') + 1) // (count_if(fate = 'keep') + 1) > 2 AS needed FROM c"""
+    + """ SELECT count(*) FILTER (fate = 'clobber') AS clobbers, count(*) FILTER (fate = 'keep') AS held,
+  coalesce(bool_or(fate = 'keep' AND ((tombstoned AND version < 20) OR (NOT tombstoned AND version < 10))), false) OR (count(*) FILTER (fate = 'clobber') + 1) // (count(*) FILTER (fate = 'keep') + 1) > 2 AS needed FROM c"""
 )
 def should_compact(spark, sf_dir):
     return retention.should_compact(w(spark, sf_dir), retention.Cutoffs(tombstone_version=20, ttl_version=10))
@@ -385,13 +385,12 @@ def consistency_matrix(spark, sf_dir):
 @query(
     """WITH a AS (SELECT partition_name, partition_version, ring_member, max(highwater_tx_id) AS tx_id FROM highwaters GROUP BY ALL),
 t AS (SELECT partition_name, partition_version, cast(quantile_disc(tx_id, 0.5) AS bigint) AS tx FROM a GROUP BY ALL)
-SELECT partition_name, partition_version, count_if(tx_id >= tx) AS acks, count_if(tx_id >= tx) >= 2 AS committed FROM a JOIN t USING (partition_name, partition_version) GROUP BY ALL"""
+SELECT partition_name, partition_version, count(*) FILTER (tx_id >= tx) AS acks, count(*) FILTER (tx_id >= tx) >= 2 AS committed FROM a JOIN t USING (partition_name, partition_version) GROUP BY ALL"""
 )
 def ack_quorum(spark, sf_dir):
     """Which partitions' median transaction two takers or more have acknowledged."""
     keys = ["partition_name", "partition_version"]
-    acks = catalog.highwater_max(table(spark, sf_dir, "highwaters").withColumn("highwater_tx_id", F.greatest(F.col("highwater_tx_id"), F.lit(-1)) + 1), ["ring_member", *keys], "highwater_tx_id")
-    acks = acks.withColumn("tx_id", F.col("highwater_tx_id") - 1)
+    acks = table(spark, sf_dir, "highwaters").groupBy("ring_member", *keys).agg(F.max("highwater_tx_id").alias("tx_id"))
     median = acks.groupBy(*keys).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY tx_id)").cast("bigint").alias("tx"))
     return consistency.acked(acks.join(median, keys), F.col("tx"), 2, keys)
 
@@ -425,13 +424,11 @@ def replica_diff(spark, sf_dir):
     """WITH r AS (SELECT DISTINCT partition_name, ring_name FROM partition_info), s AS (SELECT ring_name, ring_member, row_number() OVER (PARTITION BY ring_name ORDER BY ring_member) AS place FROM ring_members),
 t AS (SELECT partition_name, max(tx_id) AS top FROM feed_rows GROUP BY 1), h AS (SELECT partition_name, ring_member, max(highwater_tx_id) AS tx FROM highwaters GROUP BY 1, 2),
 l AS (SELECT r.partition_name, s.place, cast((s.place - 1) // 2 + 1 AS int) AS category, t.top - h.tx AS lag FROM r JOIN s USING (ring_name) JOIN t USING (partition_name) LEFT JOIN h USING (partition_name, ring_member)),
-f AS (SELECT *, coalesce(sum(CASE WHEN lag <= 0 OR lag < 2000000000 * category THEN 1 ELSE 0 END) OVER (PARTITION BY partition_name ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fast FROM l)
+f AS (SELECT *, coalesce(sum(CASE WHEN lag <= 0 OR lag < cast(2000000000 AS bigint) * category THEN 1 ELSE 0 END) OVER (PARTITION BY partition_name ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fast FROM l)
 SELECT partition_name, coalesce(max(CASE WHEN fast < 2 THEN category END), 1) AS category FROM f GROUP BY 1"""
 )
 def slow_takers(spark, sf_dir):
     """How wide each partition must ask until two takers are fast enough."""
-    from pyspark.sql import Window
-
     seats = table(spark, sf_dir, "ring_members").withColumn("place", F.row_number().over(Window.partitionBy("ring_name").orderBy("ring_member")))
     parts = table(spark, sf_dir, "partition_info").select("partition_name", "ring_name").distinct()
     top = table(spark, sf_dir, "feed_rows").groupBy("partition_name").agg(F.max("tx_id").alias("top"))
@@ -550,7 +547,7 @@ def size_histogram(spark, sf_dir):
     return inspect.size_histogram(table(spark, sf_dir, "documents"), F.octet_length("text"))
 
 
-@query("SELECT partition_name, count(*) AS n, count_if(value_tombstoned) AS tombstones, min(tx_id) AS first_tx, max(tx_id) AS last_tx FROM feed_rows GROUP BY 1")
+@query("SELECT partition_name, count(*) AS n, count(*) FILTER (value_tombstoned) AS tombstones, min(tx_id) AS first_tx, max(tx_id) AS last_tx FROM feed_rows GROUP BY 1")
 def partition_totals(spark, sf_dir):
     return inspect.partition_totals(table(spark, sf_dir, "feed_rows").withColumnRenamed("value_tombstoned", "tombstoned"), ["partition_name"])
 
