@@ -3,7 +3,7 @@
 Sizes are whole numbers up to the capacity, so the plan is made on histograms of sizes,
 whose length the capacity bounds, and never on the texts themselves:
 
-1. Linear grouping: sizes above ``small`` of the capacity are cut into groups of equally many
+1. Linear grouping: sizes above a share of the capacity (the best of a few) are cut into groups of equally many
    items, and every item counts as large as the largest of its group.
 2. Few-size configurations: column generation finds the mix of group combinations that
    needs the fewest containers.
@@ -18,7 +18,7 @@ div per"; each item finds its run by its rank among the items of its size.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -67,21 +67,16 @@ def _best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.nda
             if not better.any():
                 break
             best[s:][better] = more[better]
+    # Walk the values back to the items: at each room, the last size at which the value was made.
     pattern = np.zeros(len(sizes), np.int64)
-    # The table holds values of many rounds; rebuild by walking values down.
-    at = capacity
-    while at > 0:
-        if best[at] <= best[at - 1] + 1e-12:
-            at -= 1
-            continue
-        for g in range(len(sizes)):
-            s = int(sizes[g])
-            if s <= at and abs(best[at - s] + worth[g] - best[at]) < 1e-9 and worth[g] > 1e-12:
-                pattern[g] += 1
-                at -= s
-                break
-        else:
+    at = int(np.searchsorted(best, best[-1] - 1e-9))
+    while at > 0 and best[at] > 1e-12:
+        before = at - sizes
+        made = np.flatnonzero((before >= 0) & (np.abs(best[np.maximum(before, 0)] + worth - best[at]) < 1e-9))
+        if not len(made):
             break
+        pattern[made[0]] += 1
+        at = int(np.searchsorted(best, best[before[made[0]]] - 1e-9))
     return pattern
 
 
@@ -114,9 +109,8 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
         cost[out] = c
         columns[:, out] = enter
         inverse[out] /= step[out]
-        for i in range(k):
-            if i != out and step[i]:
-                inverse[i] -= step[i] * inverse[out]
+        step[out] = 0.0
+        inverse -= np.outer(step, inverse[out])
         x = np.maximum(x, 0)
     return [(columns[:, i].astype(np.int64), float(x[i])) for i in range(k) if cost[i] > 0 and x[i] > 1e-9]
 
@@ -148,7 +142,17 @@ class _Room:
         return free, base, count
 
 
-def plan_packing(capacity: int, sizes: np.ndarray, counts: np.ndarray, groups: int = 48, small: float = 1 / 8) -> PackPlan:
+#: Shares of the capacity up to which an item counts as small.
+SMALL = (1 / 4, 1 / 3, 2 / 5)
+
+
+def plan_packing(capacity: int, sizes: np.ndarray, counts: np.ndarray, groups: int = 160, small: Sequence[float] = SMALL) -> PackPlan:
+    """The plan with the fewest containers over the given bounds of small items."""
+    plans = [_plan(capacity, sizes, counts, groups, s) for s in small]
+    return min(plans, key=lambda p: p.containers)
+
+
+def _plan(capacity: int, sizes: np.ndarray, counts: np.ndarray, groups: int, small: float) -> PackPlan:
     """Plan for ``counts`` items of each of ``sizes`` (ascending, 1..capacity)."""
     plan, room = PackPlan(capacity), _Room()
     big = sizes > max(capacity * small, 1)
@@ -239,7 +243,7 @@ def _best_fit(plan: PackPlan, room: _Room, size: int, lo: int, hi: int) -> None:
         room.add(free, base, count)
 
 
-def pack(items: DataFrame, packs: DataFrame, item: str, size: str, name: str, capacity: str, groups: int = 48, small: float = 1 / 8) -> DataFrame:
+def pack(items: DataFrame, packs: DataFrame, item: str, size: str, name: str, capacity: str, groups: int = 160, small: Sequence[float] = SMALL) -> DataFrame:
     """One row per piece: pack, ``container_id``, item, ``piece`` (0, 1, ...), ``first_token``, ``tokens``.
 
     An item longer than a container is cut into full containers and one remainder; no other item is

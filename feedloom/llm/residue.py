@@ -69,20 +69,33 @@ dolor sit amet
 blah blah blah
 text text text
 asdf asdf
+(?:\b(?:LATIN)\b[\s.,]+){4}(?:LATIN)\b
 more words will follow
 hier steht später
 (?:folgt|kommt) in kürze"""
 
+#: Words of the usual Latin filler; five in a row are filler too.
+LATIN = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim
+veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse
+cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum purus
+felis lacus ornare vitae augue massa nibh porta urna dictum mauris vestibulum pellentesque tellus risus turpis viverra lectus semper cursus""".split()
+
 #: Messages of failed requests and programs.
 ERRORS = r"""\b(?:http(?:/\d(?:\.\d)?)?|error|status|fehler|erreur|estado)\W{0,3}[45]\d\d\b
 \b[45]\d\d (?:bad request|unauthorized|forbidden|not found|method not allowed|request timeout|gone|too many requests|internal server error|not implemented|bad gateway|service unavailable|gateway time-?out)
 traceback\W+(?:\(most recent call last\)|\w+error)
 \b\w{3,}(?:error|exception)\b.{0,20}\bat line \d+
 "?error"?\W{0,4}\{\W{0,3}code
+["']code["']:\W{0,2}[45]\d\d\b
 (?:cannot|can't|could not|unable to) connect to (?:the )?database
 something went wrong
 session (?:has )?expired
 down for maintenance
+(?:address|access|request) (?:has been|was) (?:blocked|denied)
+unusual (?:traffic|activity)
+unexpected (?:condition|error)
+backend fetch failed
+guru meditation
 took too long to respond
 too many requests
 moved or deleted
@@ -136,7 +149,7 @@ def _any(patterns: str) -> str:
 _SLOT = re.compile(_any(SLOTS.replace("MAGIC__", "(?:" + "|".join(MAGIC) + ")__")))
 #: Patterns for the passage as it is, and patterns in lower case for the passage in lower case, which is cheaper than ignoring case.
 _AS_IS = [_SLOT, plain.compile(_any(FACTS))]
-_LOWER = [plain.compile(_any(p)) for p in (INSTRUCTIONS, EMPTIES.lower(), FILLER, ERRORS, NOTICES)]
+_LOWER = [plain.compile(_any(p)) for p in (INSTRUCTIONS, EMPTIES.lower(), FILLER.replace("LATIN", "|".join(LATIN)), ERRORS, NOTICES)]
 
 _CODE = re.compile(r"<(code|pre|nowiki|syntaxhighlight|source|math|kbd|samp)\b(?:[^<>]*[^/<>])?>.*?</\1\s*>", re.I | re.S)
 _MARKS = re.compile(r"<!--.*?-->|[\u200b-\u200f\u2060\ufeff\u00ad]|(?i:__(?:" + "|".join(MAGIC) + r")__)", re.S)
@@ -185,13 +198,23 @@ def visible(text: str) -> str:
     return text
 
 
+def _mask(quote: re.Match) -> str:
+    """A mark for a quotation, unless it is ordinary speech with a slot left open in it."""
+    said = quote.group(0)
+    if "_" in said or "{" in said or "%" in said or "@@" in said or "$" in said:
+        around = _SLOT.sub(" ", said)
+        if around != said and len(around.split()) > 4:
+            return said
+    return " ■ "
+
+
 def passages(text: str | None) -> Iterator[str]:
     """Paragraphs, rows and headings of the visible text, on one line each, quotations masked."""
     if not text:
         return
     for part in _PART.split(visible(text)):
         if part and not part.isspace():
-            yield _QUOTED.sub(" ■ ", " ".join(part.split()))
+            yield _QUOTED.sub(_mask, " ".join(part.split()))
 
 
 class _Kinds(dict):
@@ -277,10 +300,11 @@ def fit(texts: list[str], window: int = 8, rounds: int = 4, unlabelled_weight: f
     The expectation step gives every unlabelled window its chance of being residue.  For the
     positive class only chances of at least ``sure`` count, by ``unlabelled_weight``, and the prior stays
     that of the trusted windows; else the two classes drift apart into any two kinds of text.
-    Words in fewer than ``rare`` texts, mostly names, count together as one unknown word, which
-    never speaks for residue.
+    Words in fewer than ``rare`` texts and in no trusted window, mostly names, count together as one
+    unknown word, which never speaks for residue.
     """
     seen: Counter[str] = Counter()
+    marked: set[str] = set()
     rows: list[tuple[list[str], list[int]]] = []
     for t in texts:
         own: set[str] = set()
@@ -292,20 +316,23 @@ def fit(texts: list[str], window: int = 8, rounds: int = 4, unlabelled_weight: f
             if spans := _trusted_at(passage):
                 for i, m in enumerate(_PIECE.finditer(passage)):
                     mark[i] = int(any(m.start() < b and m.end() > a for a, b in spans))
+                marked.update(w for w, on in zip(words, mark) if on)
+                marked.update(f"{a} {b}" for a, b, on, too in zip(words, words[1:], mark, mark[1:]) if on and too)
             rows.append((words, mark))
             own.update(words)
             own.update(f"{a} {b}" for a, b in zip(words, words[1:]))
         seen.update(own)
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, n in seen.items() if n >= rare and " " not in w))}
+    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, n in seen.items() if (n >= rare or w in marked) and " " not in w))}
     unknown = len(vocabulary) + 1
-    pairs = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= rare and " " in w), start=unknown + 1)}
+    pairs = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if (n >= rare or w in marked) and " " in w), start=unknown + 1)}
     size = unknown + len(pairs) + 1
 
     # Windows lie side by side, cut where marked and unmarked words meet, so that a window is of one kind.
-    flat, owner, label = [], [], []
+    flat, owner, label, beside = [], [], [], []
     k = 0
     for words, mark in rows:
         i, n = 0, len(words)
+        near = any(mark)
         while i < n:
             j = i + 1
             while j < n and j - i < window and mark[j] == mark[i]:
@@ -318,6 +345,7 @@ def fit(texts: list[str], window: int = 8, rounds: int = 4, unlabelled_weight: f
                     flat.append(c)
                     owner.append(k)
             label.append(mark[i])
+            beside.append(near and not mark[i])
             k += 1
             i = j
     if not any(label):
@@ -326,9 +354,11 @@ def fit(texts: list[str], window: int = 8, rounds: int = 4, unlabelled_weight: f
     prior = math.log(positive.sum() / max((~positive).sum(), 1))
     # Both classes are smoothed towards the words' frequency in all windows; a flat prior would make rare words speak for the smaller class.
     common = (np.bincount(feature, minlength=size) + 1e-3) / (len(feature) + 1e-3 * size)
-    chance = positive.astype(float)
-    for _ in range(rounds):
-        gain = np.where(positive, 1.0, np.where(chance >= sure, chance * unlabelled_weight, 0.0))
+    # To begin with, a window in one passage with a trusted one may be either; all others are taken for ordinary.
+    chance = np.where(positive, 1.0, np.where(beside, 0.5, 0.0))
+    for turn in range(rounds):
+        counts = chance >= (sure if turn else 0.5)
+        gain = np.where(positive, 1.0, np.where(counts, chance * unlabelled_weight, 0.0))
         yes = np.bincount(feature, gain[where], minlength=size)
         no = np.bincount(feature, np.where(positive, 0.0, 1 - chance)[where], minlength=size)
         odds = np.log((yes + smoothing * common) / (yes.sum() + smoothing)) - np.log((no + smoothing * common) / (no.sum() + smoothing))
@@ -354,7 +384,7 @@ def fit_on(documents: DataFrame, text: str = "text", key: str = "doc_id", fit_ch
     return fit(texts)
 
 
-def residue_scores(documents: DataFrame, model: ResidueModel, text: str = "text", key: str = "doc_id", sure_score: float = 60.0) -> DataFrame:
+def residue_scores(documents: DataFrame, model: ResidueModel, text: str = "text", key: str = "doc_id", sure_score: float = 120.0) -> DataFrame:
     """``key``, ``score`` (log odds of the best passage, null if none is likely residue) and ``confirmed``.
 
     A score is confirmed if the visible text holds a trusted mark, or if it reaches
