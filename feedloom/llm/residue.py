@@ -47,21 +47,23 @@ SLOTS = r"""\{\{\{[^{}\n]{1,60}\}\}\}
 (?<!\w)__(?!MAGIC__)[\p{L}][\w-]*?__(?!\w)"""
 
 #: Instructions to an editor, and values of programs, where a fact belongs.
-INSTRUCTIONS = r"""[\[(<*]\s?(?:please )?(?:insert|enter|add|type|fill in|your|hier|inserer|insérer|insertar|inserte|indiquer|escriba|escribir|votre|su|tu|ihr|ihre|todo|tbd|fixme)\b[^\])>*\n|.]{1,60}[\])>*]
-[\[(<*]\s?[^\])>*\n|.\[(<]{1,50}\b(?:here|goes here|ici|aquí|hier|einfügen|eintragen|ergänzen|à compléter|à remplir|por completar)\s?[\])>*]
-\*\*\*\s?[^*\n|]{2,60}\s?\*\*\*"""
+INSTRUCTIONS = r"""[\[(<*]\s?(?:please )?(?:insert|enter|fill in|inserer|insérer|insertar|inserte|indiquer|escriba|escribir|todo|tbd|fixme)\b[^\])>*\n|.]{0,60}[\])>*]
+[\[(<*]\s?(?:please )?(?:add|type|your|hier|votre|su|tu|ihre?)\b[^\])>*\n|.]{1,60}\b(?:here|ici|aquí|hier|einfügen|eintragen)\s?[\])>*]
+[\[(<*]\s?[^\])>*\n|.\[(<]{1,50}\b(?:goes here|einfügen|eintragen|ergänzen|à compléter|à remplir|por completar)\s?[\])>*]
+[=|]\s*(?:todo|tbd|tba|fixme|xxx)\b\s*(?:\||\}\}|$)"""
 EMPTIES = r"\[object Object\]|\(null\)|#N/A(?!\w)|#REF!|#VALUE!|#NAME\?|#DIV/0!"
 _V = r"(?:null|NULL|undefined|NaN|nan|None|nil)"
 #: Such a word where the fact itself should stand.
 FACTS = rf"""'''{_V}'''
 (?:\bis|\bist|\best|\bes|\bwas|\bwar|\bhad|\bhas|\btenía|\bof|\bin|\ben|\bde|\bvon|:)\s(?:an?\s|eine?\s|une?\s|un\s)?{_V}(?=\s*[.,:;|)}}]|\s(?:in|de|en|it|had|habitants?|habitantes|inhabitants|einwohner|von|ist|est|es)\b)
 \{{\{{(?:[\w-]+\s)?{_V}(?:-stub)?\}}\}}
-[=|]\s*{_V}\s*(?:\||\}}\}}|$)"""
+[=|]\s*{_V}\s*(?:\||\}}\}}|$)
+\({_V}\)"""
 
 #: Filler put in for prose to come.
 FILLER = r"""lorem ipsum
 dolor sit amet
-(?:sample|dummy|filler|placeholder|example) (?:text|copy|paragraph|sentence|content)
+(?:sample|dummy|filler|placeholder) (?:text|copy|paragraph|sentence|content)
 (?:text|content|description|body copy) (?:is )?(?:coming soon|to follow|to be supplied|goes here|to come)
 (?:blind|platzhalter|beispiel|füll)text
 (?:faux texte|texte factice|phrase factice|texte d['’]exemple|contenu à venir|texte à venir)
@@ -91,34 +93,45 @@ traceback\W+(?:\(most recent call last\)|\w+error)
 something went wrong
 session (?:has )?expired
 down for maintenance
-(?:address|access|request) (?:has been|was) (?:blocked|denied)
+(?:your|this) (?:address|access|request|ip)\b.{0,15} (?:has been|was) (?:blocked|denied)
 unusual (?:traffic|activity)
-unexpected (?:condition|error)
+unexpected condition\b.{0,40}\brequest
+unexpected error (?:has )?occurred
 backend fetch failed
 guru meditation
+query failed
+deadlock found
+marked as crashed
+lost connection
+link you followed
+nothing here!
+(?:seite|version|revision) gibt es nicht mehr
+zu viele anfragen
+trop de requêtes
+demasiadas (?:solicitudes|peticiones)
 took too long to respond
 too many requests
 moved or deleted
-no longer exists
+(?:page|revision|article|resource|file) no longer exists
 access denied
 (?:please )?try again (?:later|in \d+)
-unable to (?:reach|load|process|complete)
-could not be found
+unable to (?:reach|load|connect to|process|complete) (?:the |this |your )?(?:article|page|server|request|database|backend)
+(?:page|revision|article|resource|file|address)\b.{0,30}\bcould not be found
 es ist ein fehler aufgetreten
-später erneut
+versuchen sie es.{0,20}später
 wegen wartung
-nicht erreichbar
+(?:dienst|seite|server|wartung)\b.{0,30}\bnicht erreichbar
 zugriff verweigert
 seite wurde nicht gefunden
 service (?:momentanément |temporairement )?indisponible
 une erreur (?:est survenue|s['’]est produite)
 accès refusé
-page (?:demandée |est )?introuvable
+page (?:demandée )?(?:est )?introuvable
 se ha producido un error
 inténtelo de nuevo
 servicio no disponible
 acceso denegado
-no se ha encontrado
+no se ha encontrado la página
 (?:page|resource|article|file) (?:you requested )?(?:was not|could not be|cannot be) found
 fatal error
 stack trace
