@@ -25,7 +25,7 @@ def uncovered(log: DataFrame, consumers: DataFrame, covers: DataFrame, consumer:
     gaps.  ``partition`` names the consumer's columns shared with the log.  An offset is covered if the
     furthest ``high`` of all ranges that begin below it reaches it, which one running maximum
     over (consumer, position) tells for all offsets together.  Null offsets and ranges with a null end
-    count for nothing; repeated consumers and log rows count once.
+    count for nothing, and neither does a null partition; repeated consumers and log rows count once.
     """
     who = list(consumer)
     points = log.where(F.col(offset).isNotNull()).select(*partition, F.col(offset).alias("__at")).distinct()

@@ -37,6 +37,21 @@ def lww(log: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     return log.withColumn(rank, F.row_number().over(Window.partitionBy(*key_of(log, keys)).orderBy(*order))).where(F.col(rank) == 1).drop(rank)
 
 
+def with_newest(log: DataFrame, keys: Sequence[str] = KEY, name: str = "newest") -> DataFrame:
+    """Every row with the largest (ts_id, version) of its key as a struct ``name``.
+
+    The maxima are pre-aggregated before the shuffle and joined back, so that a key with very many
+    rows is a skewed join, which Spark splits, and not one window in one task.
+    """
+    held = free_name(log, *(f"k{i}" for i, _ in enumerate(keys)))
+    marked = log.withColumns(dict(zip(held, key_of(log, keys))))
+    tops = marked.groupBy(*[F.col(h).alias(f"{h}_") for h in held]).agg(F.max(F.struct("ts_id", "version")).alias(name))
+    on = F.lit(True)
+    for h in held:
+        on = on & F.col(h).eqNullSafe(F.col(f"{h}_"))
+    return marked.join(tops, on).drop(*held, *[f"{h}_" for h in held])
+
+
 def live(rows: DataFrame) -> DataFrame:
     """Rows that aren't tombstones; a null flag counts as false."""
     return rows.where(~F.coalesce(F.col("tombstoned"), F.lit(False)))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.operators.resolve import key_of
-from feedloom.schema import KEY
+from feedloom.operators.resolve import with_newest
+from feedloom.schema import KEY, PRIMARY_TYPES
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,6 @@ def classify(log: DataFrame, cut: Cutoffs, keys: Sequence[str] = KEY) -> DataFra
     log (row types highwater and end_of_merge) are kept and system rows dropped, if there is a
     ``row_type``.
     """
-    newest = F.max(F.struct("ts_id", "version")).over(Window.partitionBy(*key_of(log, keys)))
     fate = (
         F.when(F.struct("ts_id", "version") < F.col("__top"), "clobber")
         .when(F.coalesce(F.col("tombstoned"), F.lit(False)) & (_below("ts_id", cut.tombstone_ts) | _below("version", cut.tombstone_version)), "tombstone")
@@ -75,9 +74,9 @@ def classify(log: DataFrame, cut: Cutoffs, keys: Sequence[str] = KEY) -> DataFra
         .otherwise("keep")
     )
     if "row_type" not in log.columns:
-        return log.withColumn("__top", newest).withColumn("fate", fate).drop("__top")
-    rows = log.where(F.col("row_type").isin("primary", "snappy_primary")).withColumn("__top", newest).withColumn("fate", fate).drop("__top")
-    marks = log.where(~F.col("row_type").isin("primary", "snappy_primary"))
+        return with_newest(log, keys, "__top").withColumn("fate", fate).drop("__top")
+    rows = with_newest(log.where(F.col("row_type").isin(*PRIMARY_TYPES)), keys, "__top").withColumn("fate", fate).drop("__top")
+    marks = log.where(~F.col("row_type").isin(*PRIMARY_TYPES))
     return rows.unionByName(marks.withColumn("fate", F.when(F.col("row_type") == "system", "system").otherwise("keep")))
 
 
@@ -124,8 +123,7 @@ def compact_partitions(log: DataFrame, properties: DataFrame, now_ms: int, keys:
     (null: none).  Partitions without properties only lose clobbered rows.
     """
     props = properties.select("partition_name", "tombstone_age_ms", "ttl_age_ms", "disposal_version").dropDuplicates(["partition_name"])
-    newest = F.max(F.struct("ts_id", "version")).over(Window.partitionBy(*key_of(log, keys)))
-    rows = log.withColumn("__top", newest).join(props, "partition_name", "left")
+    rows = with_newest(log, keys, "__top").join(props, "partition_name", "left")
     older = lambda age: F.coalesce((F.col(age) > 0) & (F.col("ts_id") < F.lit(now_ms) - F.col(age)), F.lit(False))
     fate = (
         F.when(F.struct("ts_id", "version") < F.col("__top"), "clobber")
