@@ -86,3 +86,15 @@ def available(log: DataFrame, offsets: DataFrame, partition: Sequence[str], memb
     top = log.groupBy(*partition).agg(F.max("tx_id").alias("highest"))
     took = offsets.groupBy(member, *partition).agg(F.max("tx_id").alias("took"))
     return took.join(top, list(partition)).where(F.col("highest") > F.col("took")).select(member, *partition, "took", "highest")
+
+
+def data_rows(log: DataFrame) -> DataFrame:
+    """The log without its markers; a log without ``row_type`` has none."""
+    return log.where(F.col("row_type").isin("primary", "snappy_primary")) if "row_type" in log.columns else log
+
+
+def marks(log: DataFrame) -> DataFrame:
+    """The highwaters interleaved in a feed: tx_id, member, mark.  Such a row holds the member as its key and
+    the mark, in digits, as its value."""
+    rows = log.where(F.col("row_type") == "highwater")
+    return rows.select("tx_id", F.decode(F.col("key"), "UTF-8").alias("member"), F.decode(F.col("value"), "UTF-8").cast("bigint").alias("mark"))

@@ -5,9 +5,11 @@ row that stands; applying a batch locates the rows it supersedes through that in
 sets their bits in per-file bitmaps, and leaves the new images in files of their own.
 A read scans the files and passes over the positions whose bit is set.
 
-Layout below ``root``: ``data/<batch>`` (images of batches not in files already),
-``v<n>/index``, ``v<n>/vectors`` and ``manifest/<n>``, written last.  A batch that failed
-before its manifest is simply applied again; one with a manifest is skipped.
+A batch writes an index run with its own standing rows and the bits it sets, nothing of what
+was there before; runs and bits are merged when there are more than ``merge_at``.  Layout
+below ``root``: ``data/<batch>`` (images of batches not in files already), ``v<n>/index``,
+``v<n>/vectors`` and ``manifest/<n>``, written last.  A batch that failed before its manifest
+is simply applied again; one with a manifest is skipped.
 """
 
 from __future__ import annotations
@@ -67,14 +69,15 @@ class DeleteVectorTable:
         newest: Sequence[str],
         tie: Sequence[str] = (),
         broadcast_limit: int = 64 << 20,
+        merge_at: int = 8,
     ):
         self.spark, self.root, self.key = spark, root.rstrip("/"), key
-        self.newest, self.tie, self.broadcast_limit = list(newest), list(tie), broadcast_limit
+        self.newest, self.tie, self.broadcast_limit, self.merge_at = list(newest), list(tie), broadcast_limit, merge_at
 
     def _manifest(self) -> dict:
         done = [int(n) for n in shared.names(self.spark, f"{self.root}/manifest") if n.isdigit()]
         if not done:
-            return {"version": 0, "files": [], "batches": []}
+            return {"version": 0, "files": [], "batches": [], "runs": []}
         return json.loads(shared.read_text(self.spark, f"{self.root}/manifest/{max(done)}"))
 
     def _placed(self, paths: list[str]) -> DataFrame:
@@ -89,7 +92,7 @@ class DeleteVectorTable:
         return F.struct(*parts, (-F.col("__pos")).alias("p"), F.col("__file").alias("f"))
 
     def apply(self, batch: DataFrame | str | Sequence[str], batch_id: str) -> int:
-        """Apply a batch of rows or of Parquet files once; returns the table's version.
+        """Apply a batch of rows or of Parquet files once; returns the version it made.
 
         Repeats and disorder inside and between batches don't matter.  A batch already applied
         under this ``batch_id`` changes nothing.
@@ -110,30 +113,54 @@ class DeleteVectorTable:
         if len(set(ids)) < len(ids):
             raise ValueError("two files of the table share a number, or a file is applied twice")
 
-        # Who stands per key: of the batch, and of the old index, which holds one row per key.
-        ranked = new.select(*[e.alias(k) for k, e in self.key.items()], self._rank().alias("__rank"))
-        if now["version"]:
-            old = self.spark.read.parquet(f"{self.root}/v{now['version']}/index")
-            ranked = ranked.unionByName(old)
-        index = ranked.groupBy(*self.key).agg(F.max("__rank").alias("__rank"))
-        index.write.mode("overwrite").parquet(f"{here}/index")
+        # The batch's own candidates, one per key.
+        mine = new.select(*[e.alias(k) for k, e in self.key.items()], self._rank().alias("__rank")).groupBy(*self.key).agg(F.max("__rank").alias("__rank"))
+        spans = new.groupBy("__file", _block(F.col("__pos")).alias("__block")).agg(F.count(F.lit(1)).alias("__rows"))
+        if now["runs"]:
+            # Through the index: the row that stood for each of the batch's keys, and which of the two stands now.
+            mine = shared.materialize(mine, "candidates")
+            stood = self._run(now, "index").withColumnsRenamed({k: f"__{k}" for k in self.key}).withColumnRenamed("__rank", "__old")
+            same = F.lit(True)
+            for k in self.key:
+                same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+            met = mine.join(stood, same, "left").groupBy(*self.key, "__rank").agg(F.max("__old").alias("__old"))
+            met = shared.materialize(met, "met")
+            gone = met.where(F.col("__old") < F.col("__rank")).select(F.col("__old").alias("__rank"))
+            mine = met.where(F.col("__old").isNull() | (F.col("__old") < F.col("__rank"))).select(*self.key, "__rank")
+        mine.write.mode("overwrite").parquet(f"{here}/index")
         index = self.spark.read.parquet(f"{here}/index")
 
-        # Rows that stand, as bits; in the touched files all other rows are superseded.
-        at = index.select(F.col("__rank.f").alias("__file"), (-F.col("__rank.p")).alias("__pos"))
-        stand = at.groupBy("__file", _block(F.col("__pos")).alias("__block")).agg(F.bitmap_construct_agg((F.col("__pos") % BLOCK)).alias("__live"))
-        spans = self._placed(paths).groupBy("__file", _block(F.col("__pos")).alias("__block")).agg(F.count(F.lit(1)).alias("__rows"))
-        if now["version"]:
-            spans = spans.unionByName(self.spark.read.parquet(f"{self.root}/v{now['version']}/vectors").select("__file", "__block", "__rows"))
-        vectors = spans.join(stand, ["__file", "__block"], "left").select("__file", "__block", "__rows", _complement(F.coalesce("__live", F.lit(b"")), F.col("__rows")).alias("__gone"))
+        # Bits: in the batch's files, of all rows but those that stand; in older files, of the rows displaced.
+        vectors = spans.join(self._bits(index), ["__file", "__block"], "left").select("__file", "__block", _complement(F.coalesce("__bits", F.lit(b"")), F.col("__rows")).alias("__gone"))
+        if now["runs"]:
+            vectors = vectors.unionByName(self._bits(gone).withColumnRenamed("__bits", "__gone"))
         vectors.write.mode("overwrite").parquet(f"{here}/vectors")
-        shared.write_text(
-            self.spark,
-            f"{self.root}/manifest/{version}",
-            json.dumps({"version": version, "files": [*now["files"], *files], "batches": [*now["batches"], batch_id]}),
-        )
+        self._commit({"version": version, "files": [*now["files"], *files], "batches": [*now["batches"], batch_id], "runs": [*now["runs"], version]})
+        if len(now["runs"]) + 1 > self.merge_at:
+            self.merge()
         return version
 
+    def _commit(self, state: dict) -> None:
+        shared.write_text(self.spark, f"{self.root}/manifest/{state['version']}", json.dumps(state))
+
+    def _run(self, state: dict, what: str) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.root}/v{r}/{what}" for r in state["runs"]])
+
+    def _bits(self, ranked: DataFrame) -> DataFrame:
+        """Bitmaps of the positions in ``__rank``, per file and block."""
+        at = ranked.select(F.col("__rank.f").alias("__file"), (-F.col("__rank.p")).alias("__pos"))
+        return at.groupBy("__file", _block(F.col("__pos")).alias("__block")).agg(F.bitmap_construct_agg(F.col("__pos") % BLOCK).alias("__bits"))
+
+    def merge(self) -> None:
+        """Make one run of the index's runs and one set of bitmaps of all."""
+        now = self._manifest()
+        if len(now["runs"]) < 2:
+            return
+        here = f"{self.root}/v{now['version'] + 1}"
+        self._run(now, "index").groupBy(*self.key).agg(F.max("__rank").alias("__rank")).write.mode("overwrite").parquet(f"{here}/index")
+        self._run(now, "vectors").groupBy("__file", "__block").agg(F.bitmap_or_agg("__gone").alias("__gone")).write.mode("overwrite").parquet(f"{here}/vectors")
+        self._commit(now | {"version": now["version"] + 1, "runs": [now["version"] + 1]})
+
     def read(self, columns: Sequence[str] | None = None) -> DataFrame:
         """The standing rows, as stored, tombstones among them.
 
@@ -143,8 +170,10 @@ class DeleteVectorTable:
         now = self._manifest()
         if not now["version"]:
             raise ValueError("no batch was applied yet")
-        vectors = self.spark.read.parquet(f"{self.root}/v{now['version']}/vectors")
+        vectors = self._run(now, "vectors")
         size = vectors.count() * BLOCK // 8
+        if len(now["runs"]) > 1:
+            vectors = vectors.groupBy("__file", "__block").agg(F.bitmap_or_agg("__gone").alias("__gone"))
         vectors = vectors.select("__file", "__block", _words("__gone").alias("__gone"))
         if size <= self.broadcast_limit:
             vectors = F.broadcast(vectors)

@@ -31,17 +31,19 @@ class KeyRange:
                 raise ValueError("the range begins after its end")
 
     def holds(self, prefix: Column, key: Column) -> Column:
-        """The bounds spelled out, so that both reach the files as filters."""
+        """The bounds spelled out over the bare columns, so that both reach the files as filters."""
         self.check()
         empty = b"" if isinstance(self.from_key if self.from_key is not None else self.to_key, bytes) else ""
-        p = F.coalesce(prefix, F.lit(empty))
+        absent = prefix.isNull() | (prefix == F.lit(empty))
         cond = F.lit(True)
         if self.from_key is not None:
-            f = F.lit(self.from_prefix or empty)
-            cond = cond & ((p > f) | ((p == f) & (key >= F.lit(self.from_key))))
+            at = (prefix == F.lit(self.from_prefix)) if self.from_prefix else absent
+            cond = cond & ((prefix > F.lit(self.from_prefix or empty)) | (at & (key >= F.lit(self.from_key))))
         if self.to_key is not None:
-            t = F.lit(self.to_prefix or empty)
-            cond = cond & ((p < t) | ((p == t) & (key < F.lit(self.to_key))))
+            if self.to_prefix:
+                cond = cond & (prefix.isNull() | (prefix < F.lit(self.to_prefix)) | ((prefix == F.lit(self.to_prefix)) & (key < F.lit(self.to_key))))
+            else:
+                cond = cond & absent & (key < F.lit(self.to_key))
         return cond
 
 
@@ -110,6 +112,12 @@ def scan(state: DataFrame, key_range: KeyRange | None = None, hydrate: bool = Tr
     return in_key_order(rows)
 
 
+def range_scan(log: DataFrame, key_range: KeyRange, hydrate: bool = True) -> DataFrame:
+    """The live rows of a range of an unresolved log.  The range is cut out before resolving, which a key's rows
+    all share; tombstones only after it."""
+    return scan(lww(log.where(key_range.holds(F.col("prefix"), F.col("key")))), None, hydrate)
+
+
 def multi_range_scan(state: DataFrame, ranges: Sequence[KeyRange]) -> DataFrame:
     """Live rows with ``range_id``, by range and then key; a row in several ranges comes several times.
 

@@ -122,6 +122,14 @@ def lww_orders(spark, sf_dir):
     return resolve.lww(log, ["o_custkey"]).select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
 
 
+@query("SELECT page_id, rev_id, page_title, strlen(text) AS bytes FROM documents QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY epoch_us(rev_at) DESC, rev_id DESC, doc_id) = 1")
+def lww_revisions(spark, sf_dir):
+    """The same with large values: the revision of each page that stands."""
+    d = table(spark, sf_dir, "documents")
+    log = d.select("page_id", "rev_id", "page_title", F.octet_length("text").cast("bigint").alias("bytes"), F.unix_micros(F.col("rev_at").cast("timestamp")).alias("ts_id"), F.col("rev_id").alias("version"), F.col("doc_id").alias("tx_id"))
+    return resolve.lww(log, ["page_id"]).select("page_id", "rev_id", "page_title", "bytes")
+
+
 # --- Reads -------------------------------------------------------------------------------
 
 _PREFIX = "click"
@@ -165,7 +173,7 @@ _IN_RANGE = "(prefix > 'click' OR (prefix = 'click' AND key >= 'u000020')) AND (
 
 @query(_L + f" SELECT prefix, key, value, ts_id, version FROM l WHERE NOT tombstoned AND {_IN_RANGE}")
 def range_scan(spark, sf_dir):
-    return reads.scan(resolve.lww(w(spark, sf_dir)), _RANGE).select("prefix", "key", "value", "ts_id", "version")
+    return reads.range_scan(w(spark, sf_dir), _RANGE).select("prefix", "key", "value", "ts_id", "version")
 
 
 @query(
@@ -192,7 +200,7 @@ def scan_filtered(spark, sf_dir):
 def prefix_scan(spark, sf_dir):
     """All prefixes that begin with p, by the bound above them."""
     bounds = reads.KeyRange("p", "", prefix_upper_text("p"), "")
-    return reads.scan(resolve.lww(w(spark, sf_dir)), bounds).select("prefix", "key", "ts_id")
+    return reads.range_scan(w(spark, sf_dir), bounds).select("prefix", "key", "ts_id")
 
 
 @query(_L + " SELECT count(*) AS n FROM l WHERE NOT tombstoned")
@@ -250,12 +258,12 @@ def take_limit_each_partition(spark, sf_dir):
     return changes.take_each(rows, ["partition_name"], None, 100).select("partition_name", "tx_id", F.col("seq").alias("delivery_id"))
 
 
-@query(_W + f" SELECT {_COLS} FROM w WHERE tx_id > 100 AND tx_id < (SELECT min(tx_id) FROM w WHERE tx_id > 100 AND key LIKE 'u000050%')")
+@query(_W + f" SELECT {_COLS} FROM w WHERE tx_id > 100 AND tx_id < coalesce((SELECT min(tx_id) FROM w WHERE tx_id > 100 AND key LIKE 'u000050%'), 9223372036854775807)")
 def take_reject_stop(spark, sf_dir):
     return _cols(changes.take_until_rejected(w(spark, sf_dir), 100, F.col("key").like("u000050%")))
 
 
-@query(_W + f" SELECT {_COLS} FROM w WHERE tx_id > 100 AND tx_id <= (SELECT min(tx_id) FROM w WHERE tx_id > 100 AND key LIKE 'u000050%')")
+@query(_W + f" SELECT {_COLS} FROM w WHERE tx_id > 100 AND tx_id <= coalesce((SELECT min(tx_id) FROM w WHERE tx_id > 100 AND key LIKE 'u000050%'), 9223372036854775807)")
 def take_accept_stop(spark, sf_dir):
     return _cols(changes.take_until_accepted(w(spark, sf_dir), 100, F.col("key").like("u000050%")))
 

@@ -146,13 +146,47 @@ class LogStore:
         if now["commits"]:
             self._rebase(merge_delta(self.base(), self.delta()), now, now.get("stats", {}))
 
-    def compact(self, cut: retention.Cutoffs = retention.Cutoffs()) -> dict[str, Any]:
-        """Write on only what the cut-offs keep; returns the counts of what went and why."""
+    def compact(self, cut: retention.Cutoffs = retention.Cutoffs(), row_type: str | None = None) -> dict[str, Any]:
+        """Write on only what the cut-offs keep, as another row type if given; returns the counts of what went and why."""
         now = self.manifest()
+        if row_type is not None and row_type not in CODECS:
+            raise ValueError(f"no such row type: {row_type}")
         stats = retention.purge_stats(self.rows(), cut).first().asDict()
-        self._rebase(retention.compact(self.log(), cut), now, stats)
+        kept = retention.compact(self.log(), cut)
+        if row_type is not None:
+            self.row_type = row_type
+            kept = kept.withColumn("row_type", F.when(F.col("row_type").isin(*CODECS), F.lit(row_type)).otherwise(F.col("row_type")))
+        self._rebase(kept, now, stats)
         return stats
 
+    def validate(self) -> list[str]:
+        """What is wrong with the files that the manifest names: missing or unreadable ones, in words."""
+        now, wrong = self.manifest(), []
+        for part in ([now["base"]] if now["base"] else []) + [f"data/tx={t}" for t in now["commits"]]:
+            path = f"{self.root}/{part}"
+            if not shared.exists(self.spark, path):
+                wrong.append(f"{part} is missing")
+                continue
+            try:
+                self._read([path]).agg(F.max("tx_id")).collect()
+            except Exception as e:  # whatever the reader makes of it
+                wrong.append(f"{part} can't be read: {type(e).__name__}")
+        return wrong
+
+    def repair(self) -> int:
+        """Go back to the longest run of commits whose files can be read, as loading a torn log does; returns how many were dropped."""
+        now, bad = self.manifest(), " ".join(self.validate())
+        good = []
+        for t in now["commits"]:
+            if f"data/tx={t} " in bad + " ":
+                break
+            good.append(t)
+        dropped = len(now["commits"]) - len(good)
+        if dropped:
+            pending = self._read([f"{self.root}/data/tx={t}" for t in good]).count()
+            self._commit_manifest(now | {"version": now["version"] + 1, "commits": good, "pending": pending, "last_tx": good[-1] if good else -1})
+        return dropped
+
     def vacuum(self, keep: int = 1) -> None:
         """Remove files that none of the last ``keep`` manifests names."""
         versions = sorted(int(n) for n in shared.names(self.spark, f"{self.root}/manifest") if n.isdigit())

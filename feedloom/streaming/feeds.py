@@ -53,6 +53,12 @@ def read_cursors(spark: SparkSession, cursors: str, member: str = "replica") ->
     return rows.groupBy(member).agg(*[F.max(c).alias(c) for c in ("tx_id", "max_ts_id", "max_version")])
 
 
+def reset_cursors(spark: SparkSession, cursors: str, checkpoint: str) -> None:
+    """Forget how far a sync is: the next run takes everything again, which changes nothing that stands."""
+    shared.remove(spark, cursors)
+    shared.remove(spark, checkpoint)
+
+
 def apply_changes(stream: DataFrame, table: DeleteVectorTable, checkpoint: str) -> StreamingQuery:
     """Rebuild a table's current state from a stream of changes."""
     return watch(stream, lambda rows, batch: table.apply(rows, f"stream-{batch}"), checkpoint)

@@ -6,14 +6,18 @@ from pyspark.sql import functions as F
 from feedloom.client import Engine, StringMap, puts, removes
 from feedloom.functions.keys import norm_prefix
 from feedloom.operators import differential as diff
-from feedloom.operators import reads
+from feedloom.operators import changes, reads, retention
 from feedloom.operators.delete_vectors import DeleteVectorTable
 from feedloom.operators.identifier_index import IdentifierIndex
+from feedloom.operators.resolve import lww
 from feedloom.operators.retention import Cutoffs
 from feedloom.schema import LOG
 from feedloom.sources import shared
+from feedloom.sources.generate import random_log
 from feedloom.sources.log_store import LogStore
+from feedloom.sources.sync_configs import SyncConfigs
 from feedloom.streaming import feeds
+from model import newest, rows_of
 
 
 def b(n):
@@ -190,3 +194,51 @@ def test_streams_equal_batch(spark, folder):
     assert sorted(x[0] for x in index.kept().collect()) == list(range(40))
     state.apply(df, 2)  # taken in before: skipped
     assert {(x["p"], x["hour"]): x["n"] for x in state.state().collect()} == want
+
+
+def test_repair_drops_torn_commits(spark, folder):
+    store = LogStore(spark, folder)
+    for i in range(3):
+        store.commit(spark.createDataFrame(puts((b"k%d" % i, b"v", 1)), "key binary, value binary, ts_id bigint, tombstoned boolean"))
+    assert store.validate() == []
+    shared.remove(spark, f"{folder}/data/tx={store.manifest()['commits'][1]}")
+    assert len(store.validate()) == 1
+    assert store.repair() == 2 and store.validate() == [] and store.repair() == 0
+    assert [bytes(r["key"]) for r in store.state().collect()] == [b"k0"]
+
+
+def test_row_types_and_marks(spark, folder):
+    rows = [(1, 0, None, b"k", b"v", 1, False, 1, "primary"), (1, 1, None, b"member-1", b"77", 0, False, 0, "highwater"), (1, 2, None, b"x", None, 0, False, 0, "system"), (2, 0, None, b"", None, 0, False, 0, "end_of_merge")]
+    df = spark.createDataFrame(rows, LOG)
+    assert [tuple(r) for r in changes.marks(df).collect()] == [(1, "member-1", 77)]
+    assert changes.data_rows(df).count() == 1
+    store = LogStore(spark, folder)
+    store.append(df)
+    store.compact(row_type="snappy_primary")
+    assert sorted(r["row_type"] for r in store.log().collect()) == ["end_of_merge", "highwater", "snappy_primary"]
+
+
+def test_sync_configs(spark, folder):
+    c = SyncConfigs(spark, folder)
+    c.put("s", "a/b", "c", shift_ms=5)
+    assert c.get("s", "a/b", "c")["shift_ms"] == 5 and c.get("s", "x", "c") is None
+    assert list(c.all("s")) == [("a/b", "c")]
+    c.remove("s", "a/b", "c")
+    assert c.all("s") == {}
+
+
+def test_scheduled_compaction(spark, folder):
+    e = Engine(spark, folder)
+    e.create("a", ttl_age_ms=1000).commit("none", None, puts((b"k", b"v", 5000)))
+    e.create("b").commit("none", None, puts((b"k", b"v", 5000)))
+    e.merge_all()
+    assert list(e.compact_all(10_000)) == ["a"]
+
+
+def test_hot_key_log(spark):
+    log = random_log(spark, 2000, 50, hot=0.4)
+    assert rows_of(log.select("seq", "key")) == rows_of(random_log(spark, 2000, 50, hot=0.4).select("seq", "key"))
+    rows = [r.asDict() for r in log.collect()]
+    assert {(r["prefix"], r["key"]): r["seq"] for r in lww(log).collect()} == {k: r["seq"] for k, r in newest(rows).items()}
+    kept = retention.classify(log, retention.Cutoffs()).where("fate = 'keep'")
+    assert {r["seq"] for r in kept.collect()} == {r["seq"] for r in newest(rows).values()}
