@@ -14,7 +14,7 @@ import html
 import json
 import math
 import re as plain
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +23,8 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.sources.shared import spread
+
 # --- Fixed values: what is trusted to be residue, and what is ordinary wiki text. ---
 
 #: Behaviour switches of the wiki software, in English and the other languages read here.
@@ -71,7 +73,6 @@ dolor sit amet
 blah blah blah
 text text text
 asdf asdf
-(?:\b(?:LATIN)\b[\s.,]+){4}(?:LATIN)\b
 more words will follow
 hier steht später
 (?:folgt|kommt) in kürze"""
@@ -160,9 +161,12 @@ def _any(patterns: str) -> str:
 
 
 _SLOT = re.compile(_any(SLOTS.replace("MAGIC__", "(?:" + "|".join(MAGIC) + ")__")))
-#: Patterns for the passage as it is, and patterns in lower case for the passage in lower case, which is cheaper than ignoring case.
-_AS_IS = [_SLOT, plain.compile(_any(FACTS))]
-_LOWER = [plain.compile(_any(p)) for p in (INSTRUCTIONS, EMPTIES.lower(), FILLER.replace("LATIN", "|".join(LATIN)), ERRORS, NOTICES)]
+_FACTS = plain.compile(_any(FACTS))
+_LATIN = plain.compile(r"(?:\b(?:LATIN)\b[\s.,]+){4}(?:LATIN)\b".replace("LATIN", "|".join(LATIN)))
+#: Patterns in lower case, for the passage in lower case: cheaper than ignoring case.
+_LOWER = [plain.compile(_any(p)) for p in (INSTRUCTIONS, EMPTIES.lower(), FILLER, ERRORS, NOTICES)]
+_LATIN_WORDS = frozenset(LATIN)
+_STOPS = str.maketrans(",.", "  ")
 
 _CODE = re.compile(r"<(code|pre|nowiki|syntaxhighlight|source|math|kbd|samp)\b(?:[^<>]*[^/<>])?>.*?</\1\s*>", re.I | re.S)
 _MARKS = re.compile(r"<!--.*?-->|[\u200b-\u200f\u2060\ufeff\u00ad]|(?i:__(?:" + "|".join(MAGIC) + r")__)", re.S)
@@ -256,14 +260,24 @@ def pieces(passage: str) -> list[str]:
     return [_KIND[p] for p in _PIECE.findall(passage)]
 
 
-def _trusted_at(passage: str) -> list[tuple[int, int]]:
+def _searches(passage: str) -> Iterator[tuple[plain.Pattern, str]]:
+    """The trusted patterns, each with the spelling of the passage it is for; costly ones only where they can match."""
     low = passage.lower()
-    return [m.span() for p in _AS_IS for m in p.finditer(passage)] + [m.span() for p in _LOWER for m in p.finditer(low)]
+    yield _SLOT, passage
+    if any(v in passage for v in _VALUES):
+        yield _FACTS, passage
+    for p in _LOWER:
+        yield p, low
+    if sum(w in _LATIN_WORDS for w in low.translate(_STOPS).split()) > 4:
+        yield _LATIN, low
+
+
+def _trusted_at(passage: str) -> list[tuple[int, int]]:
+    return [m.span() for p, said in _searches(passage) for m in p.finditer(said)]
 
 
 def is_trusted(passage: str) -> bool:
-    low = passage.lower()
-    return any(p.search(passage) for p in _AS_IS) or any(p.search(low) for p in _LOWER)
+    return any(p.search(said) for p, said in _searches(passage))
 
 
 class ResidueModel:
@@ -307,7 +321,26 @@ def _best_window(words: list[float], pairs: list[float], window: int) -> float:
     return best
 
 
-def fit(texts: list[str], window: int = 8, rounds: int = 4, unlabelled_weight: float = 0.25, sure: float = 0.99, smoothing: float = 1000.0, rare: int = 2) -> ResidueModel:
+def marked_pieces(text: str) -> list[tuple[list[str], str]]:
+    """The words of each passage, and for each word 1 if a trusted mark touches it, else 0."""
+    out = []
+    for passage in passages(text):
+        words = pieces(passage)
+        if words:
+            spans = _trusted_at(passage)
+            marks = "".join("01"[any(m.start() < b and m.end() > a for a, b in spans)] for m in _PIECE.finditer(passage)) if spans else "0" * len(words)
+            out.append((words, marks))
+    return out
+
+
+def fit(texts: list[str], **how) -> ResidueModel:
+    """Fit on texts (see ``fit_marked``)."""
+    return fit_marked([marked_pieces(t) for t in texts], **how)
+
+
+def fit_marked(
+    texts: list[list[tuple[list[str], str]]], window: int = 8, rounds: int = 4, unlabelled_weight: float = 0.25, sure: float = 0.99, smoothing: float = 1000.0, rare: int = 2
+) -> ResidueModel:
     """Fit on a sample of texts: trusted windows are positive, the others unlabelled.
 
     The expectation step gives every unlabelled window its chance of being residue.  For the
@@ -316,55 +349,48 @@ def fit(texts: list[str], window: int = 8, rounds: int = 4, unlabelled_weight: f
     Words in fewer than ``rare`` texts and in no trusted window, mostly names, count together as one
     unknown word, which never speaks for residue.
     """
-    seen: Counter[str] = Counter()
-    marked: set[str] = set()
-    rows: list[tuple[list[str], list[int]]] = []
-    for t in texts:
-        own: set[str] = set()
-        for passage in passages(t):
-            words = pieces(passage)
-            if not words:
-                continue
-            mark = [0] * len(words)
-            if spans := _trusted_at(passage):
-                for i, m in enumerate(_PIECE.finditer(passage)):
-                    mark[i] = int(any(m.start() < b and m.end() > a for a, b in spans))
-                marked.update(w for w, on in zip(words, mark) if on)
-                marked.update(f"{a} {b}" for a, b, on, too in zip(words, words[1:], mark, mark[1:]) if on and too)
-            rows.append((words, mark))
-            own.update(words)
-            own.update(f"{a} {b}" for a, b in zip(words, words[1:]))
-        seen.update(own)
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, n in seen.items() if (n >= rare or w in marked) and " " not in w))}
-    unknown = len(vocabulary) + 1
-    pairs = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if (n >= rare or w in marked) and " " in w), start=unknown + 1)}
-    size = unknown + len(pairs) + 1
+    # One entry per word of the sample: its number, its text and passage, and whether it is marked.
+    number: dict[str, int] = {}
+    flat = [number.setdefault(w, len(number)) for told in texts for words, _ in told for w in words]
+    if not flat:
+        return ResidueModel({}, {}, -1.0, -1e9, window)
+    word = np.array(flat)
+    on = np.frombuffer("".join(m for told in texts for _, m in told).encode(), np.uint8) == ord("1")
+    length = np.array([len(words) for told in texts for words, _ in told])
+    passage = np.repeat(np.arange(len(length)), length)
+    text = np.repeat(np.repeat(np.arange(len(texts)), [len(told) for told in texts]), length)
+    beside = np.bincount(passage, on)[passage] > 0
+
+    # Words and pairs that count: met in enough texts, or marked.
+    side = passage[1:] == passage[:-1]
+    met, pair = np.unique(word[:-1] * len(number) + word[1:], return_inverse=True)
+
+    def counted(what: np.ndarray, where: np.ndarray, mark: np.ndarray, size: int) -> np.ndarray:
+        spread_over = np.bincount(np.unique(where * size + what) % size, minlength=size)
+        return (spread_over >= rare) | (np.bincount(what[mark], minlength=size) > 0)
+
+    word_kept = counted(word, text, on, len(number))
+    pair_kept = counted(pair[side], text[1:][side], (on[1:] & on[:-1])[side], len(met))
+    unknown = int(word_kept.sum())
+    size = unknown + 1 + int(pair_kept.sum())
+    word_at = np.where(word_kept, np.cumsum(word_kept) - 1, unknown)
+    pair_at = np.where(pair_kept, unknown + np.cumsum(pair_kept), -1)
 
     # Windows lie side by side, cut where marked and unmarked words meet, so that a window is of one kind.
-    flat, owner, label, beside = [], [], [], []
-    k = 0
-    for words, mark in rows:
-        i, n = 0, len(words)
-        near = any(mark)
-        while i < n:
-            j = i + 1
-            while j < n and j - i < window and mark[j] == mark[i]:
-                j += 1
-            for x in words[i:j]:
-                flat.append(vocabulary.get(x, unknown))
-                owner.append(k)
-            for a, b in zip(words[i:j], words[i + 1 : j]):
-                if (c := pairs.get(f"{a} {b}")) is not None:
-                    flat.append(c)
-                    owner.append(k)
-            label.append(mark[i])
-            beside.append(near and not mark[i])
-            k += 1
-            i = j
-    if not any(label):
+    begins = np.ones(len(word), bool)
+    begins[1:] = ~side | (on[1:] != on[:-1])
+    start = np.maximum.accumulate(np.where(begins, np.arange(len(word)), 0))
+    cut = (np.arange(len(word)) - start) % window == 0
+    own = np.cumsum(cut) - 1
+    k = int(own[-1]) + 1
+    inside = (own[1:] == own[:-1]) & (pair_at[pair] >= 0)
+    feature = np.concatenate([word_at[word], pair_at[pair][inside]])
+    where = np.concatenate([own, own[1:][inside]])
+    positive, beside = on[cut], (beside & ~on)[cut]
+    if not positive.any():
         return ResidueModel({}, {}, -1.0, -1e9, window)
-    feature, where, positive = np.array(flat), np.array(owner), np.array(label, bool)
     prior = math.log(positive.sum() / max((~positive).sum(), 1))
+
     # Both classes are smoothed towards the words' frequency in all windows; a flat prior would make rare words speak for the smaller class.
     common = (np.bincount(feature, minlength=size) + 1e-3) / (len(feature) + 1e-3 * size)
     # To begin with, a window in one passage with a trusted one may be either; all others are taken for ordinary.
@@ -378,23 +404,35 @@ def fit(texts: list[str], window: int = 8, rounds: int = 4, unlabelled_weight: f
         odds[unknown] = min(odds[unknown], 0.0)
         total = np.bincount(where, odds[feature], minlength=k) + prior
         chance = np.where(positive, 1.0, 1 / (1 + np.exp(-np.clip(total, -30, 30))))
+    names = list(number)
     following: dict[str, dict[str, float]] = defaultdict(dict)
-    for w, i in pairs.items():
-        a, b = w.split(" ")
-        following[a][b] = float(odds[i])
-    return ResidueModel({w: float(odds[i]) for w, i in vocabulary.items()}, dict(following), float(odds[unknown]), prior, window)
+    for i in np.flatnonzero(pair_kept):
+        first, second = divmod(int(met[i]), len(number))
+        following[names[first]][names[second]] = float(odds[pair_at[i]])
+    kept = {names[i]: float(odds[word_at[i]]) for i in np.flatnonzero(word_kept)}
+    return ResidueModel(kept, dict(following), float(odds[unknown]), prior, window)
 
 
 def fit_on(documents: DataFrame, text: str = "text", key: str = "doc_id", fit_chars: int = 6_000_000) -> ResidueModel:
     """Fit on a bounded sample: documents whose hash falls below the share that makes ``fit_chars`` characters.
 
-    This is the only sample; it feeds the classifier and nothing else.
+    This is the only sample; it feeds the classifier and nothing else.  The executors read its
+    texts and send words and marks, about as long as the texts, to the driver.
     """
     total = documents.agg(F.sum(F.length(text).cast("bigint"))).first()[0] or 0
     share = min(1.0, fit_chars / max(total, 1))
-    picked = documents.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else documents
-    texts = [r[0] for r in picked.where(F.col(text) != "").select(text).collect()]
-    return fit(texts)
+    picked = documents.where((F.length(text) > 0) & (F.length(text) <= fit_chars))
+    if share < 1:
+        picked = picked.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000))
+
+    @F.pandas_udf("array<struct<words:string, marks:string>>")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([[{"words": "\t".join(w), "marks": m} for w, m in marked_pieces(t)] for t in s])
+
+    sample = picked.select(text).repartition(documents.sparkSession.sparkContext.defaultParallelism)
+    told = sample.select(read(F.col(text)).alias("r")).collect()
+    return fit_marked([[(p.words.split("\t"), p.marks) for p in r[0]] for r in told])
 
 
 def residue_scores(documents: DataFrame, model: ResidueModel, text: str = "text", key: str = "doc_id", sure_score: float = 120.0) -> DataFrame:
@@ -414,7 +452,7 @@ def residue_scores(documents: DataFrame, model: ResidueModel, text: str = "text"
             sure = [v > 0 and (v >= sure_score or any(map(is_trusted, passages(t)))) for v, t in zip(scores, s)]
             yield pd.DataFrame({"score": pd.Series([v if v > 0 else None for v in scores], dtype="float64"), "confirmed": pd.Series(sure, dtype="bool")})
 
-    return documents.select(key, score(F.col(text)).alias("r")).select(key, "r.score", "r.confirmed")
+    return spread(documents.select(key, text)).select(key, score(F.col(text)).alias("r")).select(key, "r.score", "r.confirmed")
 
 
 def find_residue(documents: DataFrame, text: str = "text", key: str = "doc_id", fit_chars: int = 6_000_000) -> DataFrame:
