@@ -57,7 +57,10 @@ def equal_groups(sizes: np.ndarray, counts: np.ndarray, groups: int) -> list[lis
 
 
 def _best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
-    """The combination of most worth that fits: an unbounded knapsack by dynamic programming."""
+    """The combination of most worth that fits: an unbounded knapsack by dynamic programming, or a search for the
+    best pair where no three items fit."""
+    if 3 * int(sizes.min()) > capacity:
+        return _best_pair(sizes, worth, capacity)
     best = np.zeros(capacity + 1)
     for g in np.flatnonzero(worth > 1e-12):
         s = int(sizes[g])
@@ -80,6 +83,22 @@ def _best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.nda
     return pattern
 
 
+def _best_pair(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
+    """The same where a pattern has two items at most."""
+    order = np.argsort(sizes, kind="stable")
+    small = sizes[order]
+    top = np.maximum.accumulate(worth[order])
+    fits = np.searchsorted(small, capacity - sizes, side="right")
+    partner = np.where(fits > 0, top[np.maximum(fits - 1, 0)], 0.0)
+    both = worth + partner
+    best = int(both.argmax())
+    pattern = np.zeros(len(sizes), np.int64)
+    pattern[best] = 1
+    if fits[best] and partner[best] > 1e-12:
+        pattern[order[worth[order[: fits[best]]].argmax()]] += 1
+    return pattern
+
+
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 2000) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often to use each: the relaxed optimum, by a simplex with generated columns."""
     k = len(sizes)
@@ -143,10 +162,10 @@ class _Room:
 
 
 #: Shares of the capacity up to which an item counts as small.
-SMALL = (1 / 4, 1 / 3, 2 / 5)
+SMALL = (1 / 3, 2 / 5)
 
 
-def plan_packing(capacity: int, sizes: np.ndarray, counts: np.ndarray, groups: int = 160, small: Sequence[float] = SMALL) -> PackPlan:
+def plan_packing(capacity: int, sizes: np.ndarray, counts: np.ndarray, groups: int = 320, small: Sequence[float] = SMALL) -> PackPlan:
     """The plan with the fewest containers over the given bounds of small items."""
     plans = [_plan(capacity, sizes, counts, groups, s) for s in small]
     return min(plans, key=lambda p: p.containers)
@@ -243,7 +262,7 @@ def _best_fit(plan: PackPlan, room: _Room, size: int, lo: int, hi: int) -> None:
         room.add(free, base, count)
 
 
-def pack(items: DataFrame, packs: DataFrame, item: str, size: str, name: str, capacity: str, groups: int = 160, small: Sequence[float] = SMALL) -> DataFrame:
+def pack(items: DataFrame, packs: DataFrame, item: str, size: str, name: str, capacity: str, groups: int = 320, small: Sequence[float] = SMALL) -> DataFrame:
     """One row per piece: pack, ``container_id``, item, ``piece`` (0, 1, ...), ``first_token``, ``tokens``.
 
     An item longer than a container is cut into full containers and one remainder; no other item is

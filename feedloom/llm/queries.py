@@ -11,7 +11,7 @@ from feedloom.llm.mixing import mix, shares
 from feedloom.llm.packing import pack
 from feedloom.llm.residue import find_residue
 from feedloom.llm.tokens import token_count
-from feedloom.sources.shared import materialize
+from feedloom.sources.shared import materialize, spread
 from feedloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,8 +26,8 @@ def query(f):
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its size in tokens, counted once."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"))
-    return materialize(docs, "sizes")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return materialize(docs.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens")), "sizes")
 
 
 # --- 7: filling fixed-capacity containers ---------------------------------------------
