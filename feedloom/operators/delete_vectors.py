@@ -83,7 +83,8 @@ class DeleteVectorTable:
     def _placed(self, paths: list[str]) -> DataFrame:
         """The rows of the files with the file's number and the row's position."""
         df = self.spark.read.parquet(*paths)
-        return df.withColumns({"__file": F.xxhash64(F.col("_metadata.file_path")), "__pos": F.col("_metadata.row_index")})
+        at = df.metadataColumn("_metadata")  # even if the data have a column of that name
+        return df.withColumns({"__file": F.xxhash64(at["file_path"]), "__pos": at["row_index"]})
 
     def _rank(self) -> Column:
         """A struct that is larger the newer the row: all parts ascend, nulls lowest."""
@@ -177,10 +178,13 @@ class DeleteVectorTable:
         vectors = vectors.select("__file", "__block", _words("__gone").alias("__gone"))
         if size <= self.broadcast_limit:
             vectors = F.broadcast(vectors)
-        rows = self._placed(now["files"])
-        kept = list(columns) if columns is not None else [c for c in rows.columns if c not in ("__file", "__pos")]
+        rows = self.spark.read.parquet(*now["files"])
+        kept = list(columns) if columns is not None else rows.columns
+        at = rows.metadataColumn("_metadata")
+        # The row travels as one struct, so that no column of the data meets one of ours.
+        rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), F.xxhash64(at["file_path"]).alias("__file"), at["row_index"].alias("__pos"))
         rows = rows.withColumn("__block", _block(F.col("__pos")))
         word = F.element_at("__gone", (F.call_function("div", F.col("__pos") % BLOCK, F.lit(64)) + 1).cast("int"))
         bit = F.expr("cast(__pos % 64 as int)")
         seen = rows.join(vectors, ["__file", "__block"]).where(F.call_function("shiftright", word, bit).bitwiseAND(F.lit(1)) == 0)
-        return seen.select(*kept)
+        return seen.select("__row.*")

@@ -99,7 +99,7 @@ def _encode_batch(batch: pa.RecordBatch, keys: int) -> tuple[list[tuple], np.nda
 def dense_group_totals(rows: DataFrame, keys: Sequence[str], maxima: Sequence[str], fan_in: int = 64, flush_at: int = 1 << 20) -> DataFrame:
     """Per key: ``n``, the rows, and the largest value of each column in ``maxima`` (as ``max_<column>``).
 
-    Keys are strings; null is a key value of its own.  Maxima are over bigints, null where a key
+    A key of the name ``n`` makes the count ``_n``.  Keys are strings; null is a key value of its own.  Maxima are over bigints, null where a key
     has no value.  A split whose dictionary reaches ``flush_at`` keys hands its arrays out and starts
     anew, so memory doesn't grow with the number of keys.  An empty input gives no rows.
     """
@@ -144,5 +144,5 @@ def dense_group_totals(rows: DataFrame, keys: Sequence[str], maxima: Sequence[st
     part = part.groupBy("block").applyInArrow(reduce, schema)
     zipped = F.arrays_zip(*[F.col(f"k{i}") for i in range(nk)], F.col("n"), *[F.col(f"m{i}") for i in range(nm)])
     return part.select(F.explode(zipped).alias("z")).select(
-        *[F.col(f"z.k{i}").alias(k) for i, k in enumerate(keys)], F.col("z.n").alias("n"), *[F.col(f"z.m{i}").alias(f"max_{m}") for i, m in enumerate(maxima)]
+        *[F.col(f"z.k{i}").alias(k) for i, k in enumerate(keys)], F.col("z.n").alias("_n" if "n" in keys else "n"), *[F.col(f"z.m{i}").alias(f"max_{m}") for i, m in enumerate(maxima)]
     )

@@ -37,7 +37,8 @@ def classify_late(
 
     ``too_late`` rows lie more than ``cutoff`` behind the frontier of their transaction.  A null
     cut-off never drops a row; an event time that is null or not above zero is no_event_time;
-    a null group or transaction has no frontier and counts as on_time.
+    a null group or transaction has no frontier and counts as on_time.  Columns of ``messages``
+    called frontier or lateness are replaced; all others stay.
     """
     frontier = event_frontier(log.where(F.col(event_time) > 0), by, tx, event_time)
     out = messages.drop("frontier", "lateness").join(frontier, [*by, tx], "left")

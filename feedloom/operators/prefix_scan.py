@@ -31,7 +31,7 @@ def prefix_scan(
     ``running`` maps a new column to (expression, "max" | "min" | "sum").  Earlier means
     smaller in ``order``, nulls first; ``order`` should be total within a group, as rows that
     tie come in any order.  The first row of a group gets null.  Null group values form a
-    group of their own.  An empty input gives an empty result.
+    group of their own.  A column of a name in ``running`` is replaced.  An empty input gives an empty result.
     """
     block, head = free_name(df, "block", "head")
     held = dict(zip(running, free_name(df, *(f"v{i}" for i, _ in enumerate(running)))))

@@ -75,27 +75,28 @@ def compare_copies(
 
     Of several rows of a copy for a key the newest counts.  Values are compared exactly: null
     equals null and nothing else.  Null key values match each other.  If either copy is empty every
-    key of the other is reported; two empty copies give no rows.  Columns beyond keys and fields
-    are ignored.
+key of the other is reported; two empty copies give no rows.  Columns beyond keys and fields
+    are ignored, whatever they are called; ``newest`` names some of the fields.
     """
-    cols = [*keys, *[f for f in fields if f not in keys]]
-    both = first.select(*cols, F.lit(0).alias("side")).unionByName(second.select(*cols, F.lit(1).alias("side")))
-    one = latest_rows(both, [*keys, "side"], fields, newest)
-    key = [F.col(k) for k in keys]
-    val = [F.col(f) for f in fields]
-    marked = one.withColumns({"__h": fingerprint(key, 11), "c1": fingerprint([*key, *val], 23), "c2": fingerprint([*key, *val], 47)})
-    marked = materialize(marked, "copies")
-    rows = max(marked.count(), 1)
-    leaf_bits = min(48, max(step_bits, math.ceil(math.log2(max(rows / rows_per_leaf, 1)))))
-    marked = marked.withColumn("token", F.shiftrightunsigned("__h", 64 - leaf_bits))
+    k = [f"k{i}" for i, _ in enumerate(keys)]
+    f = [f"f{i}" for i, _ in enumerate(fields)]
+
+    def bare(df: DataFrame, side: int) -> DataFrame:
+        return df.select(*[F.col(c).alias(n) for c, n in zip([*keys, *fields], [*k, *f])], F.lit(side).alias("side"))
+
+    one = latest_rows(bare(first, 0).unionByName(bare(second, 1)), [*k, "side"], f, [f[list(fields).index(c)] for c in newest])
+    key, image = [F.col(c) for c in k], [F.col(c) for c in [*k, *f]]
+    marked = materialize(one.withColumns({"h": fingerprint(key, 11), "c1": fingerprint(image, 23), "c2": fingerprint(image, 47)}), "copies")
+    leaf_bits = min(48, max(step_bits, math.ceil(math.log2(max(marked.count() / rows_per_leaf, 1)))))
+    marked = marked.withColumn("token", F.shiftrightunsigned("h", 64 - leaf_bits))
     open_at = differing_ranges(marked.select("token", "side", "c1", "c2"), leaf_bits, step_bits)
     leaf = marked.join(open_at, "token", "left_semi")
-    image = F.struct(*[F.col(f) for f in fields])
-    pair = leaf.groupBy(*keys).agg(F.max(F.when(F.col("side") == 0, image)).alias("__l"), F.max(F.when(F.col("side") == 1, image)).alias("__r"))
-    unlike = [F.when(~F.col(f"__l.{f}").eqNullSafe(F.col(f"__r.{f}")), F.lit(f)) for f in fields]
+    row = F.struct(*f)
+    pair = leaf.groupBy(*k).agg(F.max(F.when(F.col("side") == 0, row)).alias("l"), F.max(F.when(F.col("side") == 1, row)).alias("r"))
+    unlike = [F.when(~F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")), F.lit(name)) for c, name in zip(f, fields)]
     found = (
-        F.when(F.col("__r").isNull(), F.array(F.lit("only_first")))
-        .when(F.col("__l").isNull(), F.array(F.lit("only_second")))
+        F.when(F.col("r").isNull(), F.array(F.lit("only_first")))
+        .when(F.col("l").isNull(), F.array(F.lit("only_second")))
         .otherwise(F.array_compact(F.array(*unlike)))
     )
-    return pair.select(*keys, F.explode(found).alias("difference"))
+    return pair.select(*[F.col(n).alias(c) for n, c in zip(k, keys)], F.explode(found).alias("difference"))

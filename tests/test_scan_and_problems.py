@@ -145,6 +145,16 @@ def test_delete_vectors_after_a_failure(spark, folder):
     assert {(r["part"], r["prefix"] or "", r["key"]): r["tx"] for r in t.read().collect()} == standing(rows)
 
 
+def test_delete_vectors_leave_clashing_columns_alone(spark, folder):
+    df = spark.createDataFrame(some_changes(6, 40), CHANGES).withColumns({c: F.lit(c) for c in ("__file", "__pos", "__block", "__gone", "__row", "_metadata", "__rank", "a.b")})
+    df.write.parquet(f"{folder}/files")
+    t = table(spark, f"{folder}/t")
+    t.apply(f"{folder}/files", "all")
+    got = t.read()
+    assert got.columns == df.columns
+    assert {(r["__file"], r["__pos"], r["_metadata"], r["a.b"]) for r in got.collect()} == {("__file", "__pos", "_metadata", "a.b")}
+
+
 def test_delete_vectors_over_files_and_empty(spark, folder):
     rows = some_changes(5, 90)
     spark.createDataFrame(rows, CHANGES).repartition(4).write.parquet(f"{folder}/files")
@@ -198,6 +208,13 @@ def test_compare_copies(spark, seed, leaf):
     assert {tuple(x) for x in got.collect()} == brute_compare(a, b)
 
 
+def test_compare_clashing_names(spark):
+    rows = [("a", 1), ("b", 2)]
+    one = spark.createDataFrame(rows, "side string, token int").withColumns({c: F.lit(1) for c in ("c1", "h", "l", "difference", "k0")})
+    two = spark.createDataFrame([("a", 1), ("b", 3)], "side string, token int")
+    assert [tuple(r) for r in compare_copies(one, two, ["side"], ["token"], ["token"]).collect()] == [("b", "token")]
+
+
 def test_compare_empty(spark):
     e, one = spark.createDataFrame([], COPY), spark.createDataFrame([("p", "k", None, 1, None, 1)], COPY)
     keys = (["part", "key"], FIELDS, ["ts", "version"])
