@@ -98,6 +98,14 @@ def fold(deltas: DataFrame, keys: Sequence[str], measures: Sequence[str], as_of:
     return total.where(F.col("__alive") > 0).drop("__alive")
 
 
+def message_deltas(told: DataFrame, version: Column) -> DataFrame:
+    """The lowest stage: every message with an event time is asserted (sign +1) in the version it came with, and
+    one found too late is retracted again (sign -1).  Downstream counts only ever see these signs."""
+    signs = F.when(F.col("lateness") == "too_late", F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1)))
+    timed = told.where(F.col("lateness") != "no_event_time").drop("sign", "version")
+    return timed.select("*", version.alias("version"), F.explode(signs).alias("sign"))
+
+
 def late_corrected(
     messages: DataFrame,
     log: DataFrame,
@@ -109,16 +117,15 @@ def late_corrected(
     version_width: int = HOUR_MS << 12,
     keep: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """(classified messages, signed deltas of ``n`` per ``keep`` columns and ``period_start``).
+    """(signed messages, signed deltas of ``n`` per ``keep`` columns and ``period_start``).
 
     The state's version is the transaction id divided by ``version_width`` (ids are time-ordered;
-    the default is an hour of ids with 12 bits below the millisecond).  Messages that are too late
-    or without event time change no aggregate.
+    the default is an hour of ids with 12 bits below the millisecond).  A message that is too late is
+    asserted and retracted, so that it changes no aggregate; one without event time never counts.
     """
     told = classify_late(messages, log, by, tx, event_time, cutoff)
-    counted = told.where(F.col("lateness").isin("on_time", "late"))
+    signed = message_deltas(told, F.call_function("div", F.col(tx), F.lit(version_width).cast("bigint")))
     start = F.col(event_time) - F.pmod(F.col(event_time), F.lit(period_ms))
     keys = {**{k: F.col(k) for k in keep}, "period_start": start}
-    version = F.call_function("div", F.col(tx), F.lit(version_width).cast("bigint"))
-    changes = changes_of(counted, keys, version, {"n": F.lit(1).cast("bigint")})
-    return told, signed_deltas(changes, list(keys), ["n"])
+    changes = changes_of(signed, keys, F.col("version"), {"n": F.col("sign").cast("bigint")})
+    return signed, signed_deltas(changes, list(keys), ["n"])

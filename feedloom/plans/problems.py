@@ -56,7 +56,8 @@ n AS (SELECT partition_name, ring_name, period_start, version, count(*) AS dn FR
 
 @query(_LATE_SQL + "SELECT delivery_id FROM c WHERE too_late")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _late(spark, sf_dir)[0].where(F.col("lateness") == "too_late").select("delivery_id")
+    """The messages that were retracted."""
+    return _late(spark, sf_dir)[0].where(F.col("sign") < 0).select("delivery_id")
 
 
 @query(_LATE_SQL + "SELECT partition_name, period_start, cast(sum(dn) AS bigint) AS n FROM n GROUP BY ALL")

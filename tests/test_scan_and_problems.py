@@ -74,8 +74,9 @@ def test_late_events(spark, seed):
             want_late.add(x["id"])
         else:
             counts[x["p"], x["t"] - x["t"] % 3_600_000] += 1
-    assert {r["id"] for r in told.where("lateness = 'too_late'").collect()} == want_late
-    assert told.count() == len(rows)
+    assert {r["id"] for r in told.where("sign < 0").collect()} == want_late
+    assert Counter(r["id"] for r in told.collect()) == Counter(x["id"] for x in rows if x["t"] and x["t"] > 0) + Counter(want_late)
+    assert diff.classify_late(df, df, ["p"], "tx", "t", "cut").count() == len(rows)
     got = diff.fold(deltas, ["p", "period_start"], ["n"])
     assert {(r["p"], r["period_start"]): r["n"] for r in got.collect()} == counts
     days = diff.fold(diff.roll_up(deltas, {"p": F.col("p")}, ["n"]), ["p"], ["n"])

@@ -185,7 +185,7 @@ def test_streams_equal_batch(spark, folder):
         state.follow(stream, f"{folder}/c1").awaitTermination()
         feeds.apply_changes(stream, table, f"{folder}/c2").awaitTermination()
         feeds.drop_repeats(stream, index, f"{folder}/c3").awaitTermination()
-    told, _ = diff.late_corrected(df, df, ["p"], "tx", "t", "cut", keep=["p"])
+    told = diff.classify_late(df, df, ["p"], "tx", "t", "cut")
     want = {(x["p"], x["h"]): x["n"] for x in told.where("lateness != 'too_late'").groupBy("p", (F.col("t") - F.col("t") % 3_600_000).alias("h")).agg(F.count("*").alias("n")).collect()}
     assert {(x["p"], x["hour"]): x["n"] for x in state.state().collect()} == want
     assert {(x["p"], x["hour"]): x["n"] for x in diff.fold(state.deltas(), ["p", "hour"], ["n"]).collect()} == want
