@@ -40,20 +40,13 @@ class _Arrays:
             self.has = [np.pad(h, (0, more)) for h in self.has]
         return out
 
-    def add(self, at: np.ndarray, n: np.ndarray | None, tops: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        size = len(self.n)
-        if n is None:
-            self.n += np.bincount(at, minlength=size)
-        else:
-            np.add.at(self.n, at, n)
-        low = np.iinfo(np.int64).min
-        for i, (value, ok) in enumerate(tops):
-            best = np.full(size, low, np.int64)
-            np.maximum.at(best, at[ok], value[ok])
-            seen = np.zeros(size, bool)
-            seen[at[ok]] = True
-            self.top[i] = np.where(seen, np.where(self.has[i], np.maximum(self.top[i], best), best), self.top[i])
-            self.has[i] |= seen
+    def add(self, at: np.ndarray, n: np.ndarray, tops: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Add an array of partial results; ``at`` holds each code once."""
+        self.n[at] += n
+        for top, has, (value, ok) in zip(self.top, self.has, tops):
+            at_ok, value = at[ok], value[ok]
+            top[at_ok] = np.where(has[at_ok], np.maximum(top[at_ok], value), value)
+            has[at_ok] = True
 
     def blocks(self, blocks: int, share: int) -> Iterator[pa.RecordBatch]:
         keys = list(self.code)
@@ -78,22 +71,21 @@ def _schema(keys: int, maxima: int) -> str:
     return ", ".join(["block bigint, share bigint, n array<bigint>", *[f"k{i} array<string>" for i in range(keys)], *[f"m{i} array<bigint>" for i in range(maxima)]])
 
 
-def _encode_batch(batch: pa.RecordBatch, keys: int) -> tuple[list[tuple], np.ndarray]:
+def _encode(columns: list[pa.Array]) -> tuple[list[tuple], np.ndarray]:
     """The distinct keys of a batch, and for each row the place of its key among them."""
-    code = np.zeros(batch.num_rows, np.int64)
-    words, radix = [], []
-    for i in range(keys):
-        d = batch.column(i).dictionary_encode(null_encoding="encode")
-        words.append(d.dictionary.to_pylist())
-        radix.append(len(words[-1]))
-        code = code * radix[-1] + d.indices.to_numpy(zero_copy_only=False)
-    found, at = np.unique(code, return_inverse=True)
+    code = np.zeros(len(columns[0]), np.int64)
     parts = []
-    rest = found
-    for i in range(keys - 1, -1, -1):
-        rest, digit = np.divmod(rest, radix[i])
-        parts.append([words[i][j] for j in digit])
-    return list(zip(*reversed(parts))), at
+    for c in columns:
+        d = c.dictionary_encode(null_encoding="encode")
+        at = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        parts.append((d.dictionary.to_pylist(), at))
+        # Counted anew after each column, so that codes stay below the number of rows.
+        _, first, code = np.unique(code * (int(at.max()) + 1) + at, return_index=True, return_inverse=True)
+    return list(zip(*[[words[i] for i in at[first]] for words, at in parts])), code
+
+
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return column.fill_null(0).to_numpy(zero_copy_only=False), ~column.is_null().to_numpy(zero_copy_only=False)
 
 
 def dense_group_totals(rows: DataFrame, keys: Sequence[str], maxima: Sequence[str], fan_in: int = 64, flush_at: int = 1 << 20) -> DataFrame:
@@ -113,12 +105,13 @@ def dense_group_totals(rows: DataFrame, keys: Sequence[str], maxima: Sequence[st
             if not b.num_rows:
                 continue
             share = b.column(nk + nm)[0].as_py() % fan_in
-            found, at = _encode_batch(b, nk)
+            found, at = _encode([b.column(i) for i in range(nk)])
             tops = []
-            for i in range(nm):
-                c = b.column(nk + i)
-                tops.append((c.fill_null(0).to_numpy(zero_copy_only=False), ~c.is_null().to_numpy(zero_copy_only=False)))
-            sums.add(sums.codes(found)[at], None, tops)
+            for value, ok in (_values(b.column(nk + i)) for i in range(nm)):
+                best = np.full(len(found), np.iinfo(np.int64).min)
+                np.maximum.at(best, at[ok], value[ok])
+                tops.append((best, np.bincount(at[ok], minlength=len(found)) > 0))
+            sums.add(sums.codes(found), np.bincount(at, minlength=len(found)), tops)
             if len(sums.code) >= flush_at:
                 yield from sums.blocks(blocks, share)
                 sums = _Arrays(nm)
@@ -129,11 +122,12 @@ def dense_group_totals(rows: DataFrame, keys: Sequence[str], maxima: Sequence[st
         for r in table.to_batches():
             n = r.column("n").flatten().to_numpy(zero_copy_only=False)
             ks = [r.column(f"k{i}").flatten().to_pylist() for i in range(nk)]
-            tops = []
-            for i in range(nm):
-                c = r.column(f"m{i}").flatten()
-                tops.append((c.fill_null(0).to_numpy(zero_copy_only=False), ~c.is_null().to_numpy(zero_copy_only=False)))
-            sums.add(sums.codes(list(zip(*ks))), n, tops)
+            # A row of arrays holds a key once; several rows may hold it again.
+            ends = np.cumsum([len(x) for x in r.column("n")]).tolist()
+            tops = [_values(r.column(f"m{i}").flatten()) for i in range(nm)]
+            codes = sums.codes(list(zip(*ks)))
+            for lo, hi in zip([0, *ends], ends):
+                sums.add(codes[lo:hi], n[lo:hi], [(v[lo:hi], ok[lo:hi]) for v, ok in tops])
         at = list(sums.code.values())
         out = _row(key[0].as_py(), 0, list(sums.code), sums.n[at], [(t[at], h[at]) for t, h in zip(sums.top, sums.has)])
         return pa.Table.from_batches([out])
