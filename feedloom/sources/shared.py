@@ -8,8 +8,12 @@ missing, a temporary folder is used, but only in local mode.
 from __future__ import annotations
 
 import atexit
+import io
+import pathlib
 import tempfile
 import uuid
+import zipfile
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +55,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the executors' Python workers import this package, wherever they run; once per application."""
+    if (app := spark.sparkContext.applicationId) in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    package = pathlib.Path(__file__).resolve().parent.parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(str(f.relative_to(package.parent))), f.read_bytes())
+    path = f"{scratch(spark, 'package')}/{package.name}-{zlib.crc32(held.getvalue()):08x}.zip"
+    _write_bytes(spark, path, held.getvalue())
+    spark.sparkContext.addPyFile(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -85,13 +107,13 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
+def _write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """Write a small file in one step: a reader sees all of it or none."""
     fs, p, jvm = _fs(spark, path)
     tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     fs.mkdirs(p.getParent())
     out = fs.create(tmp, True)
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(data))
     out.close()
     if fs.exists(p):
         fs.delete(p, False)
@@ -99,6 +121,10 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"cannot write {path}")
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    _write_bytes(spark, path, text.encode())
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p, jvm = _fs(spark, path)
     stream = fs.open(p)
