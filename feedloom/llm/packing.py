@@ -20,6 +20,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -58,9 +59,11 @@ def equal_groups(sizes: np.ndarray, counts: np.ndarray, groups: int) -> list[lis
 
 def _best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
     """The combination of most worth that fits: an unbounded knapsack by dynamic programming, or a search for the
-    best pair where no three items fit."""
+    best pair where no three items fit, and for the best three where no four do."""
     if 3 * int(sizes.min()) > capacity:
         return _best_pair(sizes, worth, capacity)
+    if 4 * int(sizes.min()) > capacity:
+        return _best_three(sizes, worth, capacity)
     best = np.zeros(capacity + 1)
     for g in np.flatnonzero(worth > 1e-12):
         s = int(sizes[g])
@@ -99,7 +102,34 @@ def _best_pair(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarra
     return pattern
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 2000) -> list[tuple[np.ndarray, float]]:
+def _best_three(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
+    """The same where a pattern has three items at most: every two with the best third that still fits.  Only
+    sizes worth more than all smaller ones are tried, as a smaller one of no less worth could stand for any other."""
+    order = np.lexsort((-worth, sizes))
+    most = np.maximum.accumulate(worth[order])
+    kept = order[np.append(most[0] > 1e-12, (most[1:] > most[:-1]) & (most[1:] > 1e-12))]
+    pattern = np.zeros(len(sizes), np.int64)
+    if not len(kept):
+        return pattern
+    s, top = sizes[kept], np.append(0.0, worth[kept])
+    fits = np.searchsorted(s, np.arange(capacity + 1), side="right")  # how many of them fit a room; the last is the best
+    best = top[fits]
+    room = capacity - s[:, None] - s
+    three = np.where(room >= 0, top[1:, None] + top[1:] + best[np.maximum(room, 0)], -1.0)
+    two = top[1:] + best[capacity - s]
+    if two.max() >= three.max():
+        a = int(two.argmax())
+        held = [a, int(fits[capacity - s[a]]) - 1]
+    else:
+        a, b = divmod(int(three.argmax()), len(s))
+        held = [a, b, int(fits[room[a, b]]) - 1]
+    for i in held:
+        if i >= 0:
+            pattern[kept[i]] += 1
+    return pattern
+
+
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 20_000) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often to use each: the relaxed optimum, by a simplex with generated columns."""
     k = len(sizes)
     columns = np.diag((capacity // sizes).astype(float))
@@ -162,7 +192,7 @@ class _Room:
 
 
 #: Shares of the capacity up to which an item counts as small.
-SMALL = (1 / 3, 2 / 5)
+SMALL = (1 / 4, 1 / 3, 2 / 5)
 
 
 def plan_packing(capacity: int, sizes: np.ndarray, counts: np.ndarray, groups: int = 320, small: Sequence[float] = SMALL) -> PackPlan:
@@ -178,6 +208,7 @@ def _plan(capacity: int, sizes: np.ndarray, counts: np.ndarray, groups: int, sma
     left: list[tuple[int, int, int]] = [(int(s), 0, int(n)) for s, n in zip(sizes[~big], counts[~big])]
     if big.any():
         parts = equal_groups(sizes[big], counts[big], groups)
+        parts = [sum(alike, []) for _, alike in groupby(parts, key=lambda g: g[0][0])]  # equally large groups are one
         tops = np.array([g[0][0] for g in parts])
         demand = np.array([sum(hi - lo for _, lo, hi in g) for g in parts], float)
         left += _fill_configurations(plan, room, parts, configurations(tops, demand, capacity))

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm import residue
 from feedloom.llm.mixing import mix, shares
-from feedloom.llm.packing import configurations, pack, plan_packing
+from feedloom.llm.packing import _best_pattern, configurations, pack, plan_packing
 from feedloom.llm.tokens import TOKENIZERS, VOCABULARY, encoding, token_count
 
 # --- tokens ---
@@ -60,6 +61,23 @@ def test_plan_is_near_the_least():
         assert plan.containers <= 1.01 * -(-int(draw.sum()) // 512)
 
 
+def test_three_to_a_container():
+    """n lengths of 0.4 and 2n of 0.3 fill n containers, which matching of pairs and best fit don't find."""
+    plan = plan_packing(100, np.array([30, 40]), np.array([200, 100]))
+    assert plan.containers == 100
+    assert all(sorted(x) == [30, 30, 40] for x in unroll(plan, [30, 40], [200, 100]).values())
+
+
+@given(st.integers(8, 120), st.data())
+@settings(max_examples=60, deadline=None)
+def test_best_pattern_of_three(capacity, data):
+    rows = data.draw(st.lists(st.tuples(st.integers(capacity // 4 + 1, capacity), st.integers(0, 9)), min_size=1, max_size=7))
+    sizes, worth = np.array([s for s, _ in rows]), np.array([w / 8 for _, w in rows])
+    pattern = _best_pattern(sizes, worth, capacity)
+    tries = [c for n in (1, 2, 3) for c in combinations_with_replacement(range(len(rows)), n) if sum(sizes[i] for i in c) <= capacity]
+    assert pattern @ sizes <= capacity and pattern @ worth == pytest.approx(max(sum(worth[i] for i in c) for c in tries))
+
+
 def test_configurations_meet_the_known_optimum():
     # Cutting stock: capacity 10, 3s and 4s and 5s; two 5s, or 3+3+4, fill a container.
     told = configurations(np.array([5, 4, 3]), np.array([20.0, 10.0, 20.0]), 10)
