@@ -15,7 +15,7 @@ import json
 import math
 import re as plain
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -281,10 +281,11 @@ def is_trusted(passage: str) -> bool:
 
 
 class ResidueModel:
-    """Weights of words and word pairs (log odds of residue), and the prior odds of a window."""
+    """Weights of words and word pairs (log odds of residue), the prior odds of a window, and the mean log odds
+    from which a window is sure (``calibrated_cut``)."""
 
-    def __init__(self, words: dict[str, float], pairs: dict[str, dict[str, float]], unknown: float, prior: float, window: int):
-        self.words, self.pairs, self.unknown, self.prior, self.window = words, pairs, unknown, prior, window
+    def __init__(self, words: dict[str, float], pairs: dict[str, dict[str, float]], unknown: float, prior: float, window: int, cut: float = math.inf):
+        self.words, self.pairs, self.unknown, self.prior, self.window, self.cut = words, pairs, unknown, prior, window, cut
 
     def score(self, text: str | None) -> float:
         """The log odds of the best window, or minus infinity if none is more likely residue than not."""
@@ -306,6 +307,21 @@ class ResidueModel:
                 best = max(best, self.prior + _best_window(w, p, self.window))
         return best if best > 0 else -math.inf
 
+    def likeness(self, told: Iterable[list[str]]) -> float:
+        """The largest mean log odds a word or pair over the whole windows, or whole passages if shorter, that are
+        more likely residue than not, or minus infinity: unlike the score it doesn't grow with the number of words."""
+        best = -math.inf
+        get, pairs, unknown, none = self.words.get, self.pairs.get, self.unknown, {}
+        for words in told:
+            w = [get(x, unknown) for x in words]
+            p = [pairs(a, none).get(b, 0.0) for a, b in zip(words, words[1:])]
+            n = min(len(w), self.window)
+            for i in range(len(w) - n + 1 if n else 0):
+                s = sum(w[i : i + n]) + sum(p[i : i + n - 1])
+                if self.prior + s > 0:
+                    best = max(best, s / (2 * n - 1))
+        return best
+
 
 def _best_window(words: list[float], pairs: list[float], window: int) -> float:
     """Largest sum over runs of 3 to ``window`` words, or all words if fewer, with the pairs inside the run."""
@@ -338,7 +354,22 @@ def fit(texts: list[str], **how) -> ResidueModel:
     return fit_marked([marked_pieces(t) for t in texts], **how)
 
 
-def fit_marked(
+def fit_marked(texts: list[list[tuple[list[str], str]]], kept: float = 0.5, **how) -> ResidueModel:
+    """Fit on a sample of texts (see ``_fit_windows``), and calibrate the cut of sure windows."""
+    model = _fit_windows(texts, **how)
+    model.cut = calibrated_cut(_fit_windows(texts[::2], **how), texts[1::2], kept)
+    return model
+
+
+def calibrated_cut(model: ResidueModel, held_out: list[list[tuple[list[str], str]]], kept: float) -> float:
+    """The mean log odds that the share ``kept`` of the texts with a trusted mark reach in a passage with one, of
+    those in which the model, fitted on other texts, sees residue at all; infinite if there are none."""
+    marked = [[words for words, marks in told if "1" in marks] for told in held_out]
+    seen = [v for told in marked if told and (v := model.likeness(told)) > -math.inf]
+    return float(np.quantile(seen, 1 - kept)) if seen else math.inf
+
+
+def _fit_windows(
     texts: list[list[tuple[list[str], str]]], window: int = 8, rounds: int = 4, unlabelled_weight: float = 0.25, sure: float = 0.99, smoothing: float = 1000.0, rare: int = 2
 ) -> ResidueModel:
     """Fit on a sample of texts: trusted windows are positive, the others unlabelled.
@@ -435,11 +466,11 @@ def fit_on(documents: DataFrame, text: str = "text", key: str = "doc_id", fit_ch
     return fit_marked([[(p.words.split("\t"), p.marks) for p in r[0]] for r in told])
 
 
-def residue_scores(documents: DataFrame, model: ResidueModel, text: str = "text", key: str = "doc_id", sure_score: float = 120.0) -> DataFrame:
+def residue_scores(documents: DataFrame, model: ResidueModel, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, ``score`` (log odds of the best passage, null if none is likely residue) and ``confirmed``.
 
-    A score is confirmed if the visible text holds a trusted mark, or if it reaches
-    ``sure_score``, so that residue worded in other ways is kept and a chance likeness isn't.
+    A score is confirmed if the visible text holds a trusted mark, or if a window's mean log odds reach
+    the model's cut, so that residue worded in other ways is kept and a chance likeness isn't.
     Null and empty texts, and texts of code and quotations only, score null and aren't confirmed.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)
@@ -449,7 +480,7 @@ def residue_scores(documents: DataFrame, model: ResidueModel, text: str = "text"
         m = sent.value
         for s in batches:
             scores = [m.score(t) for t in s]
-            sure = [v > 0 and (v >= sure_score or any(map(is_trusted, passages(t)))) for v, t in zip(scores, s)]
+            sure = [v > 0 and (any(map(is_trusted, passages(t))) or m.likeness(map(pieces, passages(t))) >= m.cut) for v, t in zip(scores, s)]
             yield pd.DataFrame({"score": pd.Series([v if v > 0 else None for v in scores], dtype="float64"), "confirmed": pd.Series(sure, dtype="bool")})
 
     return spread(documents.select(key, text)).select(key, score(F.col(text)).alias("r")).select(key, "r.score", "r.confirmed")

@@ -216,6 +216,17 @@ def test_residue_learns_what_nobody_named():
     assert model.score(prose(r)) <= 0
 
 
+def test_find_residue_off_the_phrase_lists(spark):
+    """Residue learnt beside trusted marks is found where no trusted mark is, whatever its length."""
+    r = random.Random(5)
+    for said in ("our kettle has boiled dry", "our kettle has boiled"):
+        alone = [f"{prose(r)}\n\n{said}", f"{said}\n\n{prose(r)}"] * 3
+        assert not any(residue.is_trusted(p) for t in alone for p in residue.passages(t))
+        told = alone + [f"{prose(r)}\n\n502 Bad Gateway {said}" for _ in range(60)] + [prose(r) for _ in range(300)]
+        found = {x[0] for x in residue.find_residue(spark.createDataFrame(list(enumerate(told)), "doc_id bigint, text string")).collect()}
+        assert found == set(range(66))
+
+
 def test_masking():
     assert "■" in "".join(residue.passages('He said "Internal Server Error" twice.'))
     assert "■" in "".join(residue.passages("Le message « Erreur interne du serveur (4). » a été étudié."))
