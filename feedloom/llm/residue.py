@@ -166,7 +166,7 @@ _LATIN = plain.compile(r"(?:\b(?:LATIN)\b[\s.,]+){4}(?:LATIN)\b".replace("LATIN"
 #: Patterns in lower case, for the passage in lower case: cheaper than ignoring case.
 _LOWER = [plain.compile(_any(p)) for p in (INSTRUCTIONS, EMPTIES.lower(), FILLER, ERRORS, NOTICES)]
 _LATIN_WORDS = frozenset(LATIN)
-_STOPS = str.maketrans(",.", "  ")
+_WORD = plain.compile(r"\w+")
 
 _CODE = re.compile(r"<(code|pre|nowiki|syntaxhighlight|source|math|kbd|samp)\b(?:[^<>]*[^/<>])?>.*?</\1\s*>", re.I | re.S)
 _MARKS = re.compile(r"<!--.*?-->|[\u200b-\u200f\u2060\ufeff\u00ad]|(?i:__(?:" + "|".join(MAGIC) + r")__)", re.S)
@@ -268,7 +268,7 @@ def _searches(passage: str) -> Iterator[tuple[plain.Pattern, str]]:
         yield _FACTS, passage
     for p in _LOWER:
         yield p, low
-    if sum(w in _LATIN_WORDS for w in low.translate(_STOPS).split()) > 4:
+    if sum(w in _LATIN_WORDS for w in _WORD.findall(low)) > 4:
         yield _LATIN, low
 
 

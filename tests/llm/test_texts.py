@@ -237,6 +237,12 @@ def test_masking():
     assert any(map(residue.is_trusted, residue.passages("[rÃ©gion Ã  complÃ©ter]")))
 
 
+def test_filler_beside_other_marks():
+    for said in ("(purus felis lacus ornare vitae)", "Purus felis, lacus ornare vitae!", "[purus felis lacus. ornare vitae]"):
+        assert residue.is_trusted(said)
+    assert not residue.is_trusted("(purus felis lacus ornare)")
+
+
 def test_find_residue(spark):
     rows = [(i, t) for i, (t, _) in enumerate(texts(3, 200))] + [(900, None), (901, ""), (902, "{{{1}}} " + "stone mill " * 60_000), (903, "<code>"), (5, texts(3, 6)[5][0]), (None, "{{{name}}}")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("score", F.lit("mine"))
