@@ -445,7 +445,8 @@ def _fit_windows(
 
 
 def fit_on(documents: DataFrame, text: str = "text", key: str = "doc_id", fit_chars: int = 6_000_000) -> ResidueModel:
-    """Fit on a bounded sample: documents whose hash falls below the share that makes ``fit_chars`` characters.
+    """Fit on a bounded sample: documents whose hash of key and text falls below the share that makes ``fit_chars``
+    characters.  Each task stops after its part of twice as many, so that repeated rows can't fill the driver.
 
     This is the only sample; it feeds the classifier and nothing else.  The executors read its
     texts and send words and marks, about as long as the texts, to the driver.
@@ -454,14 +455,21 @@ def fit_on(documents: DataFrame, text: str = "text", key: str = "doc_id", fit_ch
     share = min(1.0, fit_chars / max(total, 1))
     picked = documents.where((F.length(text) > 0) & (F.length(text) <= fit_chars))
     if share < 1:
-        picked = picked.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000))
+        picked = picked.where(F.xxhash64(key, text) < F.lit(int(share * 2**64) - 2**63).cast("bigint"))
+    tasks = documents.sparkSession.sparkContext.defaultParallelism
 
     @F.pandas_udf("array<struct<words:string, marks:string>>")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        seen = 0
         for s in batches:
-            yield pd.Series([[{"words": "\t".join(w), "marks": m} for w, m in marked_pieces(t)] for t in s])
-
-    sample = picked.select(text).repartition(documents.sparkSession.sparkContext.defaultParallelism)
+            out = []
+            for t in s:
+                room = seen < 2 * fit_chars / tasks
+                seen += len(t) if room else 0
+                out.append([{"words": "\t".join(w), "marks": m} for w, m in marked_pieces(t)] if room else [])
+            yield pd.Series(out)
+
+    sample = picked.select(text).repartition(tasks)
     told = sample.select(read(F.col(text)).alias("r")).collect()
     return fit_marked([[(p.words.split("\t"), p.marks) for p in r[0]] for r in told])
 

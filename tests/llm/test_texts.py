@@ -227,6 +227,17 @@ def test_find_residue_off_the_phrase_lists(spark):
         assert found == set(range(66))
 
 
+def test_sample_without_keys(spark, monkeypatch):
+    """Documents without a key are sampled like others, and repeated rows don't exceed the bound."""
+    got = []
+    monkeypatch.setattr(residue, "fit_marked", lambda told: got.append([x for x in told if x]))
+    r = random.Random(6)
+    for said in ([prose(r) for _ in range(400)], [prose(r)] * 400):
+        df = spark.createDataFrame([(None, t) for t in said], "doc_id bigint, text string")
+        residue.fit_on(df, fit_chars=sum(map(len, said)) // 10)
+    assert 10 < len(got[0]) < 90 and len(got[1]) < 90
+
+
 def test_masking():
     assert "■" in "".join(residue.passages('He said "Internal Server Error" twice.'))
     assert "■" in "".join(residue.passages("Le message « Erreur interne du serveur (4). » a été étudié."))
