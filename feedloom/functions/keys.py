@@ -14,6 +14,11 @@ def norm_prefix(prefix: Column | str, binary: bool = False) -> Column:
     return F.coalesce(c, F.lit(b"") if binary else F.lit(""))
 
 
+def prefix_is(prefix: Column, wanted: bytes | str | None) -> Column:
+    """The rows of one prefix, absent and empty being one; over the bare column, so that it reaches the files."""
+    return (prefix == F.lit(wanted)) if wanted else prefix.isNull() | (F.length(prefix) == 0)
+
+
 def prefix_upper(prefix: bytes) -> bytes | None:
     """The smallest byte string above all strings that start with ``prefix``.
 

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.functions.keys import prefix_is
 from feedloom.operators.resolve import lww
 
 
@@ -25,10 +26,10 @@ def take_since(log: DataFrame, since: int, limit: int = 0) -> DataFrame:
 
 
 def take_prefix_since(log: DataFrame, prefix: Any, since: int, limit: int = 0) -> DataFrame:
-    """The same for the rows of one prefix, which must be given."""
+    """The same for the rows of one prefix, which must be given; an empty one takes the rows without prefix too."""
     if prefix is None:
         raise ValueError("a prefix is needed")
-    return take_since(log.where(F.col("prefix") == F.lit(prefix)), since, limit)
+    return take_since(log.where(prefix_is(F.col("prefix"), prefix)), since, limit)
 
 
 def take_each(log: DataFrame, partition: Sequence[str], offsets: DataFrame | None, limit: int) -> DataFrame:

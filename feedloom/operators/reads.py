@@ -12,7 +12,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.operators.resolve import live, lww
+from feedloom.functions.keys import prefix_is
+from feedloom.operators.resolve import key_of, live, lww
 
 
 @dataclass(frozen=True)
@@ -47,9 +48,9 @@ class KeyRange:
         return cond
 
 
-def in_key_order(rows: DataFrame) -> DataFrame:
-    empty = F.lit(b"") if rows.schema["key"].dataType.typeName() == "binary" else F.lit("")
-    return rows.orderBy(F.coalesce(F.col("prefix"), empty), "key")
+def in_key_order(rows: DataFrame, *first: str) -> DataFrame:
+    """Rows by ``first``, then prefix (an absent one as an empty one), then key."""
+    return rows.orderBy(*first, *key_of(rows, ("prefix", "key")))
 
 
 def _requested(log: DataFrame, prefix: Any, keys: Sequence[Any] | DataFrame) -> DataFrame:
@@ -62,8 +63,7 @@ def _requested(log: DataFrame, prefix: Any, keys: Sequence[Any] | DataFrame) ->
 
 def _found(log: DataFrame, prefix: Any, asked: DataFrame) -> DataFrame:
     """The standing rows of the asked keys: the log is cut down to them before it is resolved."""
-    empty = b"" if log.schema["key"].dataType.typeName() == "binary" else ""
-    mine = log.where(F.coalesce(F.col("prefix"), F.lit(empty)) == F.lit(prefix if prefix is not None else empty))
+    mine = log.where(prefix_is(F.col("prefix"), prefix))
     return lww(mine.join(asked.select("key").distinct(), "key", "left_semi"))
 
 
@@ -90,16 +90,28 @@ def contains_keys(log: DataFrame, prefix: Any, keys: Sequence[Any] | DataFrame)
     return raw.select("pos", "key", there.alias("contained"), F.coalesce("ts_id", F.lit(-1)).alias("ts_id"), F.coalesce("version", F.lit(-1)).alias("version"))
 
 
+def timestamped_get(log: DataFrame, prefix: Any, key: Any) -> DataFrame:
+    """value, ts_id, version of one key; no row if it is missing or deleted."""
+    rows = log.where(prefix_is(F.col("prefix"), prefix) & (F.col("key") == F.lit(key)))
+    return live(lww(rows)).select("value", "ts_id", "version")
+
+
 def value_slice(value: Column, offset: Column, length: Column) -> Column:
-    """The slice of a value: null at or beyond its end, all of it for offset 0 and enough length."""
+    """The slice of a value: all of it for offset 0 and enough length (an empty value too), else null at or beyond its end.
+
+    Negative offsets and lengths give null.
+    """
     size = F.length(value)
-    return F.when((offset >= 0) & (offset < size) & (length >= 0), F.substring(value, offset.cast("int") + 1, F.least(length, size - offset).cast("int")))
+    part = F.substring(value, offset.cast("int") + 1, F.least(length, size - offset).cast("int"))
+    return F.when((offset == 0) & (length >= size), value).when((offset >= 0) & (offset < size) & (length >= 0), part)
 
 
 def get_offset(log: DataFrame, prefix: Any, asks: DataFrame) -> DataFrame:
-    """pos, key, slice for asks of (pos, key, offset, length)."""
-    rows = live(_found(log, prefix, asks)).select("key", "value")
-    return asks.join(rows, "key", "left").select("pos", "key", value_slice(F.col("value"), F.col("offset"), F.col("length")).alias("slice"))
+    """pos, key, slice, ts_id, version for asks of (pos, key, offset, length); a missing or deleted key gives (null, -1, -1)."""
+    rows = live(_found(log, prefix, asks)).select("key", "value", "ts_id", "version")
+    return asks.join(rows, "key", "left").select(
+        "pos", "key", value_slice(F.col("value"), F.col("offset"), F.col("length")).alias("slice"), F.coalesce("ts_id", F.lit(-1)).alias("ts_id"), F.coalesce("version", F.lit(-1)).alias("version")
+    )
 
 
 def scan(state: DataFrame, key_range: KeyRange | None = None, hydrate: bool = True) -> DataFrame:
@@ -125,7 +137,7 @@ def multi_range_scan(state: DataFrame, ranges: Sequence[KeyRange]) -> DataFrame:
     """
     hits = F.array_compact(F.array(*[F.when(r.holds(F.col("prefix"), F.col("key")), F.lit(i)) for i, r in enumerate(ranges)])) if ranges else F.array().cast("array<int>")
     rows = live(state)
-    return rows.select(F.explode(hits).alias("range_id"), *rows.columns).orderBy("range_id", F.col("prefix").asc_nulls_first(), "key")
+    return in_key_order(rows.select(F.explode(hits).alias("range_id"), *rows.columns), "range_id")
 
 
 def scan_filtered(state: DataFrame, keep: Column | Callable[[DataFrame], DataFrame], key_range: KeyRange | None = None) -> DataFrame:
@@ -157,12 +169,17 @@ def approximate_count(base: DataFrame, delta: DataFrame) -> DataFrame:
     return b.unionByName(d).agg(F.sum("n").alias("n"))
 
 
+def replica_count(counts: DataFrame) -> DataFrame:
+    """One row: the largest of several replicas' counts ``n``, what an approximate count over replicas is; 0 without any."""
+    return counts.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+
+
 def delta_count(base: DataFrame, delta: DataFrame) -> DataFrame:
     """One row: live stored keys corrected by what each pending key does: +1, 0 or -1."""
     b, d = lww(base), lww(delta)
     rows = b.withColumn("__side", F.lit(0)).unionByName(d.withColumn("__side", F.lit(1)))
     was = F.max(F.when(F.col("__side") == 0, ~F.col("tombstoned")))
-    per = rows.groupBy("prefix", "key").agg(was.alias("was"), F.max_by("tombstoned", F.struct("ts_id", "version", -F.col("tx_id"))).alias("gone"))
+    per = rows.groupBy(*key_of(rows)).agg(was.alias("was"), F.max_by("tombstoned", F.struct("ts_id", "version", -F.col("tx_id"))).alias("gone"))
     now = ~F.col("gone")
     step = F.when(now & ~F.coalesce("was", F.lit(False)), 1).when(~now & F.coalesce("was", F.lit(False)), -1).otherwise(0)
     return per.agg((F.sum(F.coalesce("was", F.lit(False)).cast("bigint")) + F.sum(step)).alias("n"))

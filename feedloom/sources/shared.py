@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import atexit
 import io
+import math
+import os
 import pathlib
 import tempfile
 import uuid
@@ -77,6 +79,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def blocks_for(df: DataFrame, per_block: int = 64 << 20, times: float = 1.0) -> int:
+    """How many blocks leave about ``per_block`` bytes to each; at least the session's shuffle partitions.
+
+    The size is that of the tables the plan reads, an upper bound as long as it multiplies no rows; ``times`` is
+    by how much it does.  Leaves of unknown size (rows of the driver's, RDDs) count for nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    held = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    wanted = math.ceil(sum(h for h in held if h < 1 << 60) * times / per_block)
+    return min(max(shuffle_partitions(df.sparkSession), wanted), 1_000_000)
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -96,6 +110,12 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def sizes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below ``path``; 0 if it is missing."""
+    fs, p, _ = _fs(spark, path)
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p, _ = _fs(spark, path)
     return fs.exists(p)
@@ -107,24 +127,50 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def _write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
-    """Write a small file in one step: a reader sees all of it or none."""
+def _write_bytes(spark: SparkSession, path: str, data: bytes, once: bool = False) -> None:
+    """Write a small file in one step: a reader sees all of the old one, all of the new one, or (the first time) none.
+
+    With ``once`` the file must not be there yet, and of several writers exactly one succeeds; the others get
+    FileExistsError.  The folder's file system must rename in one step, as HDFS and local disks do.
+    """
     fs, p, jvm = _fs(spark, path)
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    if fs.getUri().getScheme() == "file":  # one machine's disk
+        here = p.toUri().getPath()
+        os.makedirs(os.path.dirname(here), exist_ok=True)
+        tmp = f"{here}.{uuid.uuid4().hex}.tmp"
+        with open(tmp, "wb") as f:
+            f.write(data)
+        try:
+            (os.link if once else os.replace)(tmp, here)
+        finally:
+            if once:
+                os.unlink(tmp)
+        return
+    held = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     fs.mkdirs(p.getParent())
-    out = fs.create(tmp, True)
+    out = fs.create(held, True)
     out.write(bytearray(data))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(tmp, p):
-        raise OSError(f"cannot write {path}")
+    if once:
+        if not fs.rename(held, p):  # refused where the target exists
+            fs.delete(held, False)
+            raise FileExistsError(path)
+        return
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(held, p, how)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     _write_bytes(spark, path, text.encode())
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """The same for a file that must be new: FileExistsError if another writer was first."""
+    _write_bytes(spark, path, text.encode(), once=True)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p, jvm = _fs(spark, path)
     stream = fs.open(p)
