@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.operators.sync import runs
+from feedloom.functions.keys import free_name
+from feedloom.operators.prefix_scan import runs
 
 
 def chunk_power(size: Column, least: int = 0) -> Column:
@@ -24,10 +25,11 @@ def size_histogram(rows: DataFrame, size: Column, least: int = 0) -> DataFrame:
 
 def log_runs(rows: DataFrame, by: Sequence[str], kind: str, size: Column, leap: Column | None = None) -> DataFrame:
     """The log's runs of rows of one kind: where each begins, rows and bytes.  ``leap`` rows always begin a run."""
-    told = runs(rows.withColumn("__bytes", size), by, ["tx_id", "seq"], kind, leap)
-    return told.groupBy(*by, "run").agg(
-        F.min_by(kind, F.struct("tx_id", "seq")).alias(kind), F.min("tx_id").alias("start_tx"), F.count(F.lit(1)).alias("n"), F.sum("__bytes").alias("bytes")
-    )
+    (leaps,) = free_name(rows, "leap")
+    slim = rows.select(*by, "tx_id", "seq", F.col(kind).alias(kind), size.alias("__bytes"), (leap if leap is not None else F.lit(False)).alias(leaps))
+    told = runs(slim, by, ["tx_id", "seq"], kind, F.col(leaps))
+    # A run is of one kind, so any of its rows tells it.
+    return told.groupBy(*by, "run").agg(F.max(kind).alias(kind), F.min("tx_id").alias("start_tx"), F.count(F.lit(1)).alias("n"), F.sum("__bytes").alias("bytes"))
 
 
 def partition_totals(rows: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.operators.prefix_scan import prefix_scan
+from feedloom.operators.prefix_scan import runs
+from feedloom.operators.resolve import key_of
 
 
 def window_shift(rows: DataFrame, from_ts: int = 0, to_ts: int = 0, from_version: int = 0, to_version: int = 0, shift_ms: int = 0) -> DataFrame:
@@ -25,25 +26,10 @@ def cursor(taken: DataFrame, member: str = "replica") -> DataFrame:
     return taken.groupBy(member).agg(F.max("tx_id").alias("tx_id"), F.max("ts_id").alias("max_ts_id"), F.max("version").alias("max_version"))
 
 
-def runs(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, breaks: Column | None = None) -> DataFrame:
-    """``rows`` with ``run``: neighbours in ``order`` with equal ``value`` share a number (0, 1, ... per ``by``).
-
-    ``breaks`` starts a new run where it is true.  Two scans over range-split blocks, so a log of any
-    length is numbered without ordering it in one task.
-    """
-    at = F.struct(*[F.col(o) for o in order], F.col(value).alias("__value"))
-    seen = prefix_scan(rows, by, order, {"__before": (at, "max")})
-    begins = F.col("__before").isNull() | ~F.col("__before.__value").eqNullSafe(F.col(value))
-    if breaks is not None:
-        begins = begins | F.coalesce(breaks, F.lit(False))
-    told = seen.withColumn("__begins", begins.cast("bigint")).drop("__before")
-    numbered = prefix_scan(told, by, order, {"__n": (F.col("__begins"), "sum")})
-    return numbered.withColumn("run", F.coalesce("__n", F.lit(0)) + F.col("__begins") - 1).drop("__n", "__begins")
-
-
 def prefix_batches(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """What a receiver commits at once: neighbours in the log with one prefix; run, prefix, rows, first and last tx_id."""
-    told = runs(rows.withColumn("prefix", F.coalesce("prefix", F.lit(b"") if rows.schema["prefix"].dataType.typeName() == "binary" else F.lit(""))), by, ["tx_id", "seq"], "prefix")
+    slim = rows.select(*by, "tx_id", "seq", key_of(rows, ("prefix",))[0].alias("prefix"))
+    told = runs(slim, by, ["tx_id", "seq"], "prefix")
     return told.groupBy(*by, "run").agg(F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("n"), F.min("tx_id").alias("first_tx"), F.max("tx_id").alias("last_tx"))
 
 
