@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from feedloom.operators.delete_vectors import DeleteVectorTable
 from feedloom.operators.dense_groups import dense_group_totals
-from feedloom.operators.differential import fold, late_corrected, roll_up
+from feedloom.operators.differential import fold, late_corrected, roll_up, version_of
 from feedloom.operators.identifier_index import IdentifierIndex, offer_in_order
 from feedloom.operators.incremental import CaptureJob, covers_from_takes, uncovered
 from feedloom.operators.reconcile import compare_copies
 from feedloom.functions.keys import norm_prefix
 from feedloom.sources.shared import materialize, scratch
-from feedloom.sources.tables import feed, messages, table
+from feedloom.sources.tables import MESSAGE, feed, messages, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,33 +34,41 @@ def query(sql: str | None = None):
 # --- 1: late and out-of-order events -------------------------------------------------
 
 
-def _late(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = feed(spark, sf_dir).select("delivery_id", "partition_name", "partition_version", "tx_id", "prefix", "row_key", "value_version", "value_timestamp")
-    info = table(spark, sf_dir, "partition_info").select("partition_name", "ring_name", "late_cutoff_ms").dropDuplicates(["partition_name"])
-    told = messages(rows, "partition_version", "value_timestamp").join(info, "partition_name", "left")
-    return late_corrected(told, rows, ["partition_name", "partition_version"], "tx_id", "value_timestamp", "late_cutoff_ms", keep=["partition_name"])
+#: The feed is taken in this many versions, equal slices of its order of delivery.
+VERSIONS = 4
 
 
-_LATE_SQL = """
-WITH f AS (SELECT *, coalesce(prefix, '') AS p FROM feed_rows),
+def _late(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = feed(spark, sf_dir).select(*MESSAGE, "delivery_id", "partition_version", "value_timestamp")
+    low, high = rows.agg(F.min("delivery_id"), F.max("delivery_id")).first()
+    came = version_of(F.col("delivery_id"), low or 0, high or 0, VERSIONS)
+    log = rows.select("partition_name", "partition_version", "tx_id", "value_timestamp", came.alias("version"))
+    info = table(spark, sf_dir, "partition_info").groupBy("partition_name").agg(F.max("late_cutoff_ms").alias("late_cutoff_ms"))
+    told = messages(rows, "partition_version", "value_timestamp").withColumn("version", came).join(info, "partition_name", "left")
+    return late_corrected(told, log, ["partition_name", "partition_version"], "tx_id", "value_timestamp", "late_cutoff_ms", "version", VERSIONS, keep=["partition_name"])
+
+
+_LATE_SQL = f"""
+WITH b AS (SELECT min(delivery_id) AS lo, greatest(1, (max(delivery_id) - min(delivery_id) + {VERSIONS}) // {VERSIONS}) AS width FROM feed_rows),
+f AS (SELECT feed_rows.*, coalesce(prefix, '') AS p, (delivery_id - lo) // width + 1 AS v FROM feed_rows, b),
 m AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY partition_name, tx_id, p, row_key, value_version ORDER BY delivery_id) = 1),
-t AS (SELECT partition_name, partition_version, tx_id, max(value_timestamp) AS top FROM f WHERE value_timestamp > 0 GROUP BY ALL),
-h AS (SELECT partition_name, partition_version, tx_id, max(top) OVER (PARTITION BY partition_name, partition_version ORDER BY tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS frontier FROM t),
-c AS (SELECT m.*, h.frontier, i.ring_name, i.late_cutoff_ms,
-  m.value_timestamp > 0 AND coalesce(h.frontier - m.value_timestamp > i.late_cutoff_ms, false) AS too_late
-  FROM m LEFT JOIN h USING (partition_name, partition_version, tx_id) LEFT JOIN partition_info i USING (partition_name)),
-k AS (SELECT partition_name, ring_name, value_timestamp - value_timestamp % 3600000 AS period_start, tx_id // 14745600000 AS version FROM c WHERE value_timestamp > 0 AND NOT too_late),
-n AS (SELECT partition_name, ring_name, period_start, version, count(*) AS dn FROM k GROUP BY ALL)
+t AS (SELECT partition_name, partition_version, tx_id, u, max(CASE WHEN v <= u THEN value_timestamp END) AS top FROM f, range(1, {VERSIONS + 1}) r(u) WHERE value_timestamp > 0 GROUP BY ALL),
+h AS (SELECT partition_name, partition_version, tx_id, u, max(top) OVER (PARTITION BY partition_name, partition_version, u ORDER BY tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS frontier FROM t),
+g AS (SELECT m.delivery_id, min(h.u) AS gone FROM m JOIN h USING (partition_name, partition_version, tx_id) JOIN partition_info i USING (partition_name)
+  WHERE m.value_timestamp > 0 AND h.u >= m.v AND h.frontier - m.value_timestamp > i.late_cutoff_ms GROUP BY 1),
+c AS (SELECT m.*, g.gone, value_timestamp - value_timestamp % 3600000 AS period_start FROM m LEFT JOIN g USING (delivery_id) WHERE value_timestamp > 0),
+k AS (SELECT partition_name, period_start, v AS version, 1 AS sign FROM c WHERE gone IS NULL OR gone > v UNION ALL SELECT partition_name, period_start, gone, -1 FROM c WHERE gone > v),
+n AS (SELECT partition_name, period_start, version, cast(sum(sign) AS bigint) AS dn FROM k GROUP BY ALL HAVING sum(sign) <> 0)
 """
 
 
-@query(_LATE_SQL + "SELECT delivery_id FROM c WHERE too_late")
+@query(_LATE_SQL + "SELECT delivery_id FROM c WHERE gone IS NOT NULL")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The messages that were retracted."""
-    return _late(spark, sf_dir)[0].where(F.col("sign") < 0).select("delivery_id")
+    """The messages whose signs add up to nothing: never counted, or counted and taken back in a later version."""
+    return _late(spark, sf_dir)[0].where(F.col("lateness") == "too_late").select("delivery_id")
 
 
-@query(_LATE_SQL + "SELECT partition_name, period_start, cast(sum(dn) AS bigint) AS n FROM n GROUP BY ALL")
+@query(_LATE_SQL + "SELECT partition_name, period_start, cast(sum(dn) AS bigint) AS n FROM n GROUP BY ALL HAVING sum(dn) <> 0")
 def p1_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold(_late(spark, sf_dir)[1], ["partition_name", "period_start"], ["n"])
 
@@ -72,10 +80,15 @@ SELECT partition_name, period_start, version, 1 AS sign, after AS n FROM s
 UNION ALL SELECT partition_name, period_start, version, -1, after - dn FROM s WHERE i > 1"""
 )
 def p1_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each version tells: old counts with sign -1, new ones with sign +1."""
     return _late(spark, sf_dir)[1]
 
 
-@query(_LATE_SQL + "SELECT i.ring_name, k.period_start // 86400000 AS day, count(*) AS n FROM k JOIN (SELECT DISTINCT partition_name, ring_name FROM partition_info) i USING (partition_name) GROUP BY ALL")
+@query(
+    _LATE_SQL
+    + """, d AS (SELECT i.ring_name, n.period_start // 86400000 AS day, cast(sum(dn) AS bigint) AS n FROM n JOIN (SELECT DISTINCT partition_name, ring_name FROM partition_info) i USING (partition_name) GROUP BY ALL)
+SELECT * FROM d WHERE n <> 0"""
+)
 def p1_ring_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly deltas carried on to counts per ring and day."""
     rings = table(spark, sf_dir, "partition_info").select("partition_name", "ring_name").distinct()

@@ -72,52 +72,66 @@ def drop_repeats(stream: DataFrame, index: IdentifierIndex, checkpoint: str) ->
 class DifferentialState:
     """Counts per key and period, kept as versioned state below ``root``, one version per batch.
 
-    A batch is the next stretch of the log (transactions in order within a group).  It emits the
-    signed deltas it causes to ``deltas/<version>`` and writes the state they lead to; a batch that
-    was taken in before is skipped.  ``frontier`` holds, per group, the largest event time of the
-    log so far, so that lateness carries over from batch to batch.
+    Batches come in the order of delivery; transactions in them come in any order.  ``messages/<v>`` holds the
+    messages that version v made known or took back, ``tops/<v>`` the event times it brought per
+    transaction, ``deltas/<v>`` the signed deltas it caused: all of them are only added to.  A message delivered
+    again counts once; a batch that was taken in before is skipped.  Only groups that a batch touches are judged anew.
     """
 
-    def __init__(self, spark: SparkSession, root: str, by: Sequence[str], keys: dict[str, Column], tx: str, event_time: str, cutoff: str):
-        self.spark, self.root, self.by, self.keys = spark, root.rstrip("/"), list(by), keys
+    def __init__(self, spark: SparkSession, root: str, identity: Sequence[str], by: Sequence[str], keys: dict[str, Column], tx: str, event_time: str, cutoff: str):
+        self.spark, self.root, self.identity, self.by, self.keys = spark, root.rstrip("/"), list(identity), list(by), keys
         self.tx, self.event_time, self.cutoff = tx, event_time, cutoff
 
     def _versions(self) -> list[int]:
         return sorted(int(n) for n in shared.names(self.spark, f"{self.root}/done") if n.isdigit())
 
+    def _past(self, what: str, like: DataFrame) -> DataFrame:
+        """What earlier versions hold; nothing, with the columns of ``like``, before the first."""
+        paths = [f"{self.root}/{what}/{v}" for v in self._versions()]
+        return self.spark.read.schema(like.schema).parquet(*paths) if paths else like.limit(0)
+
     def apply(self, batch: DataFrame, version: int) -> None:
-        """Take in a batch whose rows carry the columns of ``by``, ``tx``, ``event_time``, ``cutoff`` and those of ``keys``."""
+        """Take in a batch whose rows carry the columns of ``identity``, ``by``, ``tx``, ``event_time``, ``cutoff`` and those of ``keys``."""
         if version in self._versions():
             return
-        before = [v for v in self._versions() if v < version]
-        timed = batch.where(F.col(self.event_time) > 0)
-        line = timed.select(*self.by, F.col(self.tx).alias("__tx"), F.col(self.event_time).alias("__t"))
-        if before:  # the old frontier stands before the batch's first transaction
-            old = self.spark.read.parquet(f"{self.root}/frontier/{before[-1]}")
-            line = line.unionByName(old.select(*self.by, F.lit(-1).cast("bigint").alias("__tx"), F.col("frontier").alias("__t")))
-        frontier = diff.event_frontier(line, self.by, "__tx", "__t").withColumnRenamed("__tx", self.tx)
-        told = timed.join(frontier, [*self.by, self.tx], "left")
-        kept = told.where(~F.coalesce(F.col("frontier") - F.col(self.event_time) > F.col(self.cutoff), F.lit(False)))
-        change = diff.changes_of(kept, self.keys, F.lit(version).cast("bigint"), {"n": F.lit(1).cast("bigint")})
+        ids = [f"__i{i}" for i, _ in enumerate(self.identity)]
+        groups = [f"__g{i}" for i, _ in enumerate(self.by)]
+        held = {**{f"__i{i}": F.col(c) for i, c in enumerate(self.identity)}, **{f"__g{i}": F.col(c) for i, c in enumerate(self.by)}}
+        held |= {"__tx": F.col(self.tx), "__t": F.col(self.event_time), "__cut": F.col(self.cutoff).cast("bigint"), **self.keys}
+        timed = batch.where(F.col(self.event_time) > 0).select(*[e.alias(c) for c, e in held.items()])
+        rest = [c for c in held if c not in ids]
+        first = timed.groupBy(*ids).agg(F.min(F.struct(*rest)).alias("__r")).select(*ids, "__r.*")
+        first = first.withColumns({"__counts": F.lit(True), "__version": F.lit(version).cast("bigint")})
+        past = self._past("messages", first)
+        # A message is told at most twice: when it becomes known and when it is taken back.
+        known = past.groupBy(*ids).agg(F.max_by(F.struct(*rest, "__counts"), "__version").alias("__r")).select(*ids, "__r.*")
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ids]
+        new = first.drop("__counts", "__version").alias("a").join(past.select(*ids).alias("b"), same, "left_anti")
+        tops = timed.groupBy(*groups, "__tx").agg(F.max("__t").alias("__t"))
+        tops.write.mode("overwrite").parquet(f"{self.root}/tops/{version}")
+        tops = self.spark.read.schema(tops.schema).parquet(f"{self.root}/tops/{version}")
+        touched = tops.select(*groups).distinct()
+        line = self._past("tops", tops).join(touched, groups, "left_semi").unionByName(tops)
+        frontier = diff.event_frontier(line, groups, "__tx", "__t")
+        counted = known.where("__counts").drop("__counts").join(touched, groups, "left_semi")
+        judged = counted.withColumn("__was", F.lit(True)).unionByName(new.withColumn("__was", F.lit(False))).join(frontier, [*groups, "__tx"], "left")
+        late = F.coalesce(F.element_at("frontier", 1) - F.col("__t") > F.col("__cut"), F.lit(False))
+        told = judged.where(~F.col("__was") | late).select(*held, (~late).alias("__counts"), F.lit(version).cast("bigint").alias("__version"), "__was")
+        told = shared.materialize(told, "told")
+        told.drop("__was").write.mode("overwrite").parquet(f"{self.root}/messages/{version}")
+        sign = F.when(F.col("__was"), -1).when(F.col("__counts"), 1).otherwise(0).cast("bigint")
         names = list(self.keys)
-        change = shared.materialize(change, "changes")
-        state = self.state()
-        if state is None:
-            deltas = diff.signed_deltas(change, names, ["n"])
-            after = change.select(*names, "n")
-        else:
-            touched = state.alias("s").join(change.select(*names).alias("c"), [F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}")) for k in names], "left_semi")
-            past = touched.select(*names, F.lit(-1).cast("bigint").alias("version"), "n")
-            deltas = diff.signed_deltas(past.unionByName(change), names, ["n"]).where(F.col("version") == version)
-            after = state.unionByName(change.select(*names, "n")).groupBy(*names).agg(F.sum("n").alias("n"))
+        change = shared.materialize(diff.changes_of(told, {k: F.col(k) for k in names}, F.lit(version).cast("bigint"), {"n": sign}).where("n <> 0"), "changes")
+        before = self._past("deltas", diff.signed_deltas(change, names, ["n"]))
+        before = before.alias("s").join(change.select(*names).alias("c"), [F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}")) for k in names], "left_semi")
+        stood = diff.fold(before, names, ["n"]).select(*names, F.lit(-1).cast("bigint").alias("version"), "n")
+        deltas = diff.signed_deltas(stood.unionByName(change), names, ["n"]).where(F.col("version") == version)
         deltas.write.mode("overwrite").parquet(f"{self.root}/deltas/{version}")
-        after.write.mode("overwrite").parquet(f"{self.root}/state/{version}")
-        line.groupBy(*self.by).agg(F.max("__t").alias("frontier")).write.mode("overwrite").parquet(f"{self.root}/frontier/{version}")
         shared.write_text(self.spark, f"{self.root}/done/{version}", json.dumps({"version": version}))
 
     def state(self) -> DataFrame | None:
-        done = self._versions()
-        return self.spark.read.parquet(f"{self.root}/state/{done[-1]}") if done else None
+        """The counts as they stand, or None before the first batch."""
+        return diff.fold(self.deltas(), list(self.keys), ["n"]) if self._versions() else None
 
     def deltas(self) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.root}/deltas/{v}" for v in self._versions()])

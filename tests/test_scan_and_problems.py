@@ -12,7 +12,7 @@ from feedloom.operators import incremental, inspect, sync
 from feedloom.operators.delete_vectors import DeleteVectorTable
 from feedloom.operators.dense_groups import dense_group_totals
 from feedloom.operators.identifier_index import IdentifierIndex, offer_in_order
-from feedloom.operators.prefix_scan import prefix_scan
+from feedloom.operators.prefix_scan import prefix_scan, runs
 from feedloom.operators.reconcile import compare_copies
 
 
@@ -40,6 +40,32 @@ def test_prefix_scan_whole_table_and_empty(spark):
     assert prefix_scan(df.where("id < 0"), [], ["id"], {"s": (F.col("id"), "sum")}).count() == 0
 
 
+@pytest.mark.parametrize("how", ["max", "min", "sum", "float"])
+def test_prefix_scan_over_small_batches(spark, how):
+    """Arrow batches of three rows, so that groups go on over batches and blocks."""
+    r = random.Random(5)
+    rows = [(r.choice(["a", "hot", "hot", None]), i, r.choice([None, -r.randrange(50), r.randrange(50)])) for i in range(200)]
+    kind = "double" if how == "float" else "bigint"
+    df = spark.createDataFrame(rows, "g string, i int, v bigint").withColumn("v", F.col("v").cast(kind))
+    fold = {"max": max, "min": min, "sum": sum, "float": sum}[how]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {x["i"]: x["s"] for x in prefix_scan(df, ["g"], ["i"], {"s": (F.col("v"), "sum" if how == "float" else how)}, 4).collect()}
+        told = {(x["i"], x["run"]) for x in runs(df.withColumn("k", F.col("v") > 0), ["g"], ["i"], "k", F.col("i") % 50 == 0, 4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    seen, last, n, want = defaultdict(list), {}, {}, set()
+    for g, i, v in rows:
+        assert got[i] == (fold(seen[g]) if seen[g] else None)
+        if v is not None:
+            seen[g].append(v)
+        k = None if v is None else v > 0
+        n[g] = n[g] + (k != last[g] or i % 50 == 0) if g in last else 0
+        last[g] = k
+        want.add((i, n[g]))
+    assert told == want
+
+
 def test_runs(spark):
     rows = [(i, i, "aabbbaac"[i]) for i in range(8)]
     df = spark.createDataFrame(rows, "tx_id bigint, seq bigint, kind string").withColumn("n", F.lit(2))
@@ -59,35 +85,70 @@ def feed(r, n):
     ]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_late_events(spark, seed):
-    rows = feed(random.Random(seed), 240)
-    cut = {"hot": 3_600_000, "x": None, "y": 7_200_000, None: 1}
-    df = spark.createDataFrame([(x["id"], x["p"], x["tx"], x["t"], cut[x["p"]]) for x in rows], "id int, p string, tx bigint, t bigint, cut bigint")
-    told, deltas = diff.late_corrected(df, df, ["p"], "tx", "t", "cut", version_width=10, keep=["p"])
-    want_late, counts = set(), Counter()
+def brute_signs(rows, cut, versions):
+    """(message, version, sign) by looking at every row in every version."""
+    first, out, found = {}, [], set()
     for x in rows:
-        front = max((y["t"] for y in rows if y["p"] == x["p"] and x["p"] is not None and y["tx"] < x["tx"] and y["t"] and y["t"] > 0), default=None)
+        first.setdefault(x["id"], x)
+    for x in first.values():
         if not x["t"] or x["t"] <= 0:
             continue
-        if front is not None and cut[x["p"]] is not None and front - x["t"] > cut[x["p"]]:
-            want_late.add(x["id"])
-        else:
-            counts[x["p"], x["t"] - x["t"] % 3_600_000] += 1
-    assert {r["id"] for r in told.where("sign < 0").collect()} == want_late
-    assert Counter(r["id"] for r in told.collect()) == Counter(x["id"] for x in rows if x["t"] and x["t"] > 0) + Counter(want_late)
-    assert diff.classify_late(df, df, ["p"], "tx", "t", "cut").count() == len(rows)
-    got = diff.fold(deltas, ["p", "period_start"], ["n"])
-    assert {(r["p"], r["period_start"]): r["n"] for r in got.collect()} == counts
+        front = lambda v: max((y["t"] for y in rows if x["p"] is not None and y["p"] == x["p"] and y["tx"] < x["tx"] and y["v"] <= v and y["t"] and y["t"] > 0), default=None)  # noqa: B023, E731
+        behind = [v for v in range(x["v"], versions + 1) if cut[x["p"]] is not None and front(v) is not None and front(v) - x["t"] > cut[x["p"]]]
+        if not behind or behind[0] > x["v"]:
+            out.append((x["id"], x["v"], 1))
+        if behind:
+            found.add(x["id"])
+            if behind[0] > x["v"]:
+                out.append((x["id"], behind[0], -1))
+    return out, found
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_late_events(spark, seed):
+    r = random.Random(seed)
+    rows = feed(r, 240)
+    r.shuffle(rows)  # delivered in disorder
+    cut = {"hot": 3_600_000, "x": None, "y": 7_200_000, None: 1}
+    for i, x in enumerate(rows):
+        x["v"] = 1 + i // 60
+    schema = "id int, p string, tx bigint, t bigint, cut bigint, v bigint, signs string"
+    df = spark.createDataFrame([(x["id"], x["p"], x["tx"], x["t"], cut[x["p"]], x["v"], "mine") for x in rows], schema)
+    log = df.unionByName(df.limit(50))  # repeats in the log change nothing
+    told, deltas = diff.late_corrected(df, log, ["p"], "tx", "t", "cut", "v", 4, keep=["p"])
+    signs, found = brute_signs(rows, cut, 4)
+    assert any(s < 0 for _, _, s in signs)
+    assert sorted((x["id"], x["version"], x["sign"]) for x in told.select("id", F.inline("signs")).collect()) == sorted(signs)
+    assert {x["id"] for x in told.where("lateness = 'too_late'").collect()} == found
+    assert told.count() == len(rows)
+    by_id = {x["id"]: x for x in rows}
+    for upto in (1, 2, 3, 4):
+        want = Counter()
+        for i, v, sign in signs:
+            if v <= upto:
+                want[by_id[i]["p"], by_id[i]["t"] - by_id[i]["t"] % 3_600_000] += sign
+        got = diff.fold(deltas, ["p", "period_start"], ["n"], as_of=upto)
+        assert {(x["p"], x["period_start"]): x["n"] for x in got.collect()} == {k: n for k, n in want.items() if n}
     days = diff.fold(diff.roll_up(deltas, {"p": F.col("p")}, ["n"]), ["p"], ["n"])
-    assert {r["p"]: r["n"] for r in days.collect()} == {p: sum(n for (q, _), n in counts.items() if q == p) for p in {p for p, _ in counts}}
-    # As of a version, the fold holds what had come by then.
-    early = diff.fold(deltas, ["p", "period_start"], ["n"], as_of=3)
-    want = Counter()
-    for x in rows:
-        if x["t"] and x["t"] > 0 and x["id"] not in want_late and x["tx"] // 10 <= 3:
-            want[x["p"], x["t"] - x["t"] % 3_600_000] += 1
-    assert {(r["p"], r["period_start"]): r["n"] for r in early.collect()} == want
+    assert {x["p"]: x["n"] for x in days.collect()} == {p: n for p in cut if (n := sum(m for (q, _), m in want.items() if q == p))}
+
+
+def test_a_retraction_comes_in_a_later_version_and_is_carried_on(spark):
+    # Transaction 9 counts in version 1; in version 2 transaction 5, smaller but far ahead in time, pushes it past the cut-off.
+    hour = 3_600_000
+    df = spark.createDataFrame([(1, "p", 9, hour, 1), (2, "p", 5, 5 * hour, 2)], "id int, p string, tx bigint, t bigint, v bigint").withColumn("cut", F.lit(hour).cast("bigint"))
+    told, deltas = diff.late_corrected(df, df, ["p"], "tx", "t", "cut", "v", 2, keep=["p"])
+    assert [tuple(x) for x in told.where("id = 1").select(F.inline("signs")).collect()] == [(1, 1), (2, -1)]
+    assert sorted(tuple(x) for x in deltas.collect()) == [("p", hour, 1, 1, 1), ("p", hour, 2, -1, 1), ("p", hour, 2, 1, 0), ("p", 5 * hour, 2, 1, 1)]
+    up = diff.roll_up(deltas, {"p": F.col("p"), "day": F.lit(0)}, ["n"])
+    assert [tuple(x) for x in up.collect()] == [("p", 0, 1, 1, 1)]  # a day's count stays 1: one taken back, one come
+    assert diff.fold(deltas, ["p", "period_start"], ["n"]).collect() == [("p", 5 * hour, 1)]
+
+
+def test_late_events_without_rows(spark):
+    df = spark.createDataFrame([], "id int, p string, tx bigint, t bigint, cut bigint, v bigint")
+    told, deltas = diff.late_corrected(df, df, ["p"], "tx", "t", "cut", "v", 4, keep=["p"])
+    assert told.count() == 0 and deltas.count() == 0
 
 
 def test_retractions_undo_what_was_told(spark):

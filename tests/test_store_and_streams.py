@@ -172,11 +172,13 @@ def test_watch_sees_every_commit(spark, folder):
 def test_streams_equal_batch(spark, folder):
     r = random.Random(11)
     cut = {"x": 5_000_000, "y": None}
-    rows = [(i, p := r.choice("xxy"), i // 2, r.randrange(1, 20_000_000), cut[p], r.choice(["k", "l"]), i % 40) for i in range(120)]
+    txs = [i // 2 for i in range(120)]
+    r.shuffle(txs)  # transactions come in disorder
+    rows = [(i, p := r.choice("xxy"), txs[i], r.randrange(1, 20_000_000), cut[p], r.choice(["k", "l"]), i % 40) for i in range(120)]
     schema = "id bigint, p string, tx bigint, t bigint, cut bigint, prefix string, dup bigint"
     df = spark.createDataFrame(rows, schema)
     keys = {"p": F.col("p"), "hour": F.col("t") - F.col("t") % 3_600_000}
-    state = feeds.DifferentialState(spark, f"{folder}/d", ["p"], keys, "tx", "t", "cut")
+    state = feeds.DifferentialState(spark, f"{folder}/d", ["id"], ["p"], keys, "tx", "t", "cut")
     table = DeleteVectorTable(spark, f"{folder}/v", {"p": F.col("p"), "prefix": norm_prefix("prefix")}, ["t"], ["tx"])
     index = IdentifierIndex(spark, f"{folder}/i", [F.col("dup")], "id")
     for part in range(3):
@@ -185,7 +187,11 @@ def test_streams_equal_batch(spark, folder):
         state.follow(stream, f"{folder}/c1").awaitTermination()
         feeds.apply_changes(stream, table, f"{folder}/c2").awaitTermination()
         feeds.drop_repeats(stream, index, f"{folder}/c3").awaitTermination()
-    told = diff.classify_late(df, df, ["p"], "tx", "t", "cut")
+    told, deltas = diff.late_corrected(*[df.withColumn("v", F.expr("id div 40 + 1"))] * 2, ["p"], "tx", "t", "cut", "v", 3, keep=["p"])
+    assert sorted((x["p"], x["hour"], x["sign"], x["n"]) for x in state.deltas().collect()) == sorted((x["p"], x["period_start"], x["sign"], x["n"]) for x in deltas.collect())
+    assert any(s["sign"] < 0 for x in told.collect() for s in x["signs"])
+    state.apply(df, 7)  # every message again: each counts once
+    assert state.spark.read.parquet(f"{folder}/d/deltas/7").count() == 0
     want = {(x["p"], x["h"]): x["n"] for x in told.where("lateness != 'too_late'").groupBy("p", (F.col("t") - F.col("t") % 3_600_000).alias("h")).agg(F.count("*").alias("n")).collect()}
     assert {(x["p"], x["hour"]): x["n"] for x in state.state().collect()} == want
     assert {(x["p"], x["hour"]): x["n"] for x in diff.fold(state.deltas(), ["p", "hour"], ["n"]).collect()} == want
