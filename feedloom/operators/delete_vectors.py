@@ -1,56 +1,52 @@
 """Current state of a table under a change feed, kept by delete vectors.
 
-Data files are never rewritten.  An index holds, per key, the file and position of the
-row that stands; applying a batch locates the rows it supersedes through that index,
-sets their bits in per-file bitmaps, and leaves the new images in files of their own.
-A read scans the files and passes over the positions whose bit is set.
-
-A batch writes an index run with its own standing rows and the bits it sets, nothing of what
-was there before; runs and bits are merged when there are more than ``merge_at``.  Layout
-below ``root``: ``data/<batch>`` (images of batches not in files already), ``v<n>/index``,
-``v<n>/vectors`` and ``manifest/<n>``, written last.  A batch that failed before its manifest
-is simply applied again; one with a manifest is skipped.
+Data files are never rewritten.  An index holds, per key, the file and position of the image
+that stands.  Applying a batch writes its own newest image of every key to files of its own,
+looks the keys up in the index, and sets the bit of whichever of the two images lost, in
+the bitmap of that image's file.  A read scans the files and passes over the positions whose
+bit is set.
+
+Bitmaps are kept in words of 64 positions, and only words with a bit set exist.  A batch adds an
+index run, one row per key it holds with the place that stands now and the place that lost, and the
+words it sets, nothing of what was there before; runs and words are merged when there are more than
+``merge_at``.  Runs lie in folders by hash prefix of the key (``shelf``), so that a small batch opens
+only the shelves of its keys.  Layout below ``root``: ``data/<version>`` (images), ``v<n>/index``,
+``v<n>/words``, ``batch/<id>`` and ``manifest/<n>``, written last.  A batch that failed before its
+manifest is simply applied again; one with a manifest is skipped.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedloom.functions.keys import fingerprint
 from feedloom.sources import shared
+from feedloom.sources.manifests import Manifests
 
-#: Positions that one bitmap covers: the block of Spark's own bitmap functions.
-BLOCK = 32_768
+#: Bytes that a shelf of the index is meant to hold; the number of shelves is set by the first batch and by merges.
+PER_SHELF = 64 << 20
+#: Bytes of images up to which a batch's keys are broadcast to look them up, so that the index isn't shuffled.
+SMALL_BATCH = 16 << 20
+#: Shelves at most, as powers of two: folders of a run, and numbers on the driver.
+MOST_BITS = 12
+#: What a word takes in memory when it is broadcast, at most: key, bits and the hash table's share.
+WORD_BYTES = 64
 
 
-@F.pandas_udf(T.BinaryType())
-def _complement(bits: pd.Series, rows: pd.Series) -> pd.Series:
-    """Of the first ``rows`` bits, those that are not set."""
+def _number(path: str) -> int:
+    """A file's number: what Spark's xxhash64 makes of its name, which holds the write's UUID and the task."""
+    n = xxhash.xxh64_intdigest(path.rpartition("/")[2].encode(), 42)
+    return n - (1 << 64) if n >> 63 else n
 
-    def one(b: bytes, n: int) -> bytes:
-        have = np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")
-        have = np.pad(have, (0, BLOCK - len(have)))
-        gone = 1 - have
-        gone[n:] = 0
-        return np.packbits(gone, bitorder="little").tobytes()
 
-    return pd.Series([one(b or b"", int(n)) for b, n in zip(bits, rows)])
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _words(bits: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in bits:
-        yield s.map(lambda b: np.frombuffer(b, "<i8"))
-
-
-def _block(pos: Column) -> Column:
-    return F.call_function("div", pos, F.lit(BLOCK).cast("bigint"))
+def _word(pos: Column) -> Column:
+    return F.shiftright(pos, 6)
 
 
 class DeleteVectorTable:
@@ -58,7 +54,8 @@ class DeleteVectorTable:
 
     The row that stands for a key is the first by ``newest`` (descending, nulls last) and then
     ``tie`` (ascending, nulls last).  ``key`` maps output names to expressions; null is a key value
-    like any other.  Rows equal in all of these stand in file order, the first one winning.
+    like any other.  Of rows equal in all of these one stands, that of the earlier batch.  Keys are
+    told apart by 128 bits: two of n fall together with a chance of n*n / 2**129.
     """
 
     def __init__(
@@ -73,118 +70,172 @@ class DeleteVectorTable:
     ):
         self.spark, self.root, self.key = spark, root.rstrip("/"), key
         self.newest, self.tie, self.broadcast_limit, self.merge_at = list(newest), list(tie), broadcast_limit, merge_at
-
-    def _manifest(self) -> dict:
-        done = [int(n) for n in shared.names(self.spark, f"{self.root}/manifest") if n.isdigit()]
-        if not done:
-            return {"version": 0, "files": [], "batches": [], "runs": []}
-        return json.loads(shared.read_text(self.spark, f"{self.root}/manifest/{max(done)}"))
-
-    def _placed(self, paths: list[str]) -> DataFrame:
-        """The rows of the files with the file's number and the row's position."""
-        df = self.spark.read.parquet(*paths)
-        at = df.metadataColumn("_metadata")  # even if the data have a column of that name
-        return df.withColumns({"__file": F.xxhash64(at["file_path"]), "__pos": at["row_index"]})
+        self.manifests = Manifests(spark, self.root, {"data": [], "runs": [], "bits": 0, "schema": None})
 
     def _rank(self) -> Column:
         """A struct that is larger the newer the row: all parts ascend, nulls lowest."""
         parts = [F.col(c).alias(f"n{i}") for i, c in enumerate(self.newest)]
-        parts += [(-F.col(c)).alias(f"t{i}") for i, c in enumerate(self.tie)]
-        return F.struct(*parts, (-F.col("__pos")).alias("p"), F.col("__file").alias("f"))
+        return F.struct(*parts, *[(-F.col(c)).alias(f"t{i}") for i, c in enumerate(self.tie)])
+
+    def _images(self, batch: DataFrame) -> DataFrame:
+        """The batch's newest row of each key, as it came: the others can't stand whatever was there before.
+
+        Only hash and rank go into the first aggregation's buffers beside the row; both are cut to one
+        per key and task before the shuffle, so a hot key sends one row per task.
+        """
+        hi, lo = fingerprint(list(self.key.values()), 11), fingerprint(list(self.key.values()), 13)
+        row = F.struct(*[F.col(f"`{c}`") for c in batch.columns])
+        slim = batch.select(hi.alias("hi"), lo.alias("lo"), self._rank().alias("rank"), row.alias("row"))
+        return slim.groupBy("hi", "lo").agg(F.max(F.struct("rank", "row")).alias("m")).select("m.row.*")
+
+    def _placed(self, path: str, schema: T.StructType, version: int) -> DataFrame:
+        """Hash, rank and place (batch, file, position) of the images of a batch."""
+        df = self.spark.read.schema(schema).parquet(path)
+        at = df.metadataColumn("_metadata")  # even if the data have a column of that name
+        hi, lo = fingerprint(list(self.key.values()), 11), fingerprint(list(self.key.values()), 13)
+        place = F.struct(self._rank().alias("rank"), F.lit(version).alias("batch"), F.xxhash64(at["file_name"]).alias("file"), at["row_index"].alias("pos"))
+        return df.select(hi.alias("hi"), lo.alias("lo"), place.alias("new"))
 
     def apply(self, batch: DataFrame | str | Sequence[str], batch_id: str) -> int:
-        """Apply a batch of rows or of Parquet files once; returns the version it made.
+        """Apply a batch of rows (or of Parquet files) once; returns the version it made.
 
         Repeats and disorder inside and between batches don't matter.  A batch already applied
-        under this ``batch_id`` changes nothing.
+        under this ``batch_id`` changes nothing.  An empty batch makes a version too.
         """
-        now = self._manifest()
-        if batch_id in now["batches"]:
-            return now["version"]
-        if isinstance(batch, DataFrame):
-            paths = [f"{self.root}/data/{batch_id}"]
-            batch.write.mode("overwrite").parquet(paths[0])
-        else:
-            paths = [batch] if isinstance(batch, str) else list(batch)
+        if (done := self.manifests.version_of(batch_id)) is not None:
+            return done
+        now = self.manifests.newest()
+        if not isinstance(batch, DataFrame):
+            batch = self.spark.read.parquet(*([batch] if isinstance(batch, str) else batch))
         version = now["version"] + 1
-        here = f"{self.root}/v{version}"
-        new = self._placed(paths)
-        files = new.inputFiles()
-        ids = [r[0] for r in self.spark.createDataFrame([(f,) for f in [*files, *now["files"]]], "f string").select(F.xxhash64("f")).collect()] if files else []
-        if len(set(ids)) < len(ids):
-            raise ValueError("two files of the table share a number, or a file is applied twice")
-
-        # The batch's own candidates, one per key.
-        mine = new.select(*[e.alias(k) for k, e in self.key.items()], self._rank().alias("__rank")).groupBy(*self.key).agg(F.max("__rank").alias("__rank"))
-        spans = new.groupBy("__file", _block(F.col("__pos")).alias("__block")).agg(F.count(F.lit(1)).alias("__rows"))
+        here, data = f"{self.root}/v{version}", f"{self.root}/data/{version}"
+        self._images(batch).write.mode("overwrite").parquet(data)
+        files = self.spark.read.schema(batch.schema).parquet(data).inputFiles()  # this batch's only
+        if len(set(map(_number, files))) < len(files):
+            raise ValueError("two files of one batch share a number")
+        weight = shared.sizes(self.spark, data)
+        bits = now["bits"] if now["runs"] else self._bits_for(weight)
+        new = self._placed(data, batch.schema, version)
         if now["runs"]:
-            # Through the index: the row that stood for each of the batch's keys, and which of the two stands now.
-            mine = shared.materialize(mine, "candidates")
-            stood = self._run(now, "index").withColumnsRenamed({k: f"__{k}" for k in self.key}).withColumnRenamed("__rank", "__old")
-            same = F.lit(True)
-            for k in self.key:
-                same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-            met = mine.join(stood, same, "left").groupBy(*self.key, "__rank").agg(F.max("__old").alias("__old"))
-            met = shared.materialize(met, "met")
-            gone = met.where(F.col("__old") < F.col("__rank")).select(F.col("__old").alias("__rank"))
-            mine = met.where(F.col("__old").isNull() | (F.col("__old") < F.col("__rank"))).select(*self.key, "__rank")
-        mine.write.mode("overwrite").parquet(f"{here}/index")
-        index = self.spark.read.parquet(f"{here}/index")
-
-        # Bits: in the batch's files, of all rows but those that stand; in older files, of the rows displaced.
-        vectors = spans.join(self._bits(index), ["__file", "__block"], "left").select("__file", "__block", _complement(F.coalesce("__bits", F.lit(b"")), F.col("__rows")).alias("__gone"))
+            # Through the index: what stood for each of the batch's keys, and which of the two stands now.
+            index = self._index(now, new.schema["new"].dataType)
+            if bits:
+                touched = [r[0] for r in new.select(self._shelf(bits).alias("shelf")).distinct().collect()]  # at most 2**MOST_BITS
+                index = index.where(F.col("shelf").isin(touched))
+            if weight <= SMALL_BATCH:
+                index = index.join(F.broadcast(new.select("hi", "lo")), ["hi", "lo"], "left_semi")
+            both = index.select("hi", "lo", F.col("at").alias("old"), F.lit(None).cast(new.schema["new"].dataType).alias("new")).unionByName(new, allowMissingColumns=True)
+            met = both.groupBy("hi", "lo").agg(F.max("old").alias("old"), F.max("new").alias("new")).where("new IS NOT NULL")
+            wins = F.col("old").isNull() | (F.col("old.rank") < F.col("new.rank"))
+            run = met.select("hi", "lo", F.when(wins, F.col("new")).alias("at"), F.when(wins, F.col("old")).otherwise(F.col("new")).dropFields("rank").alias("lost"))
+        else:
+            run = new.select("hi", "lo", F.col("new").alias("at"), F.lit(None).cast("struct<batch:int,file:bigint,pos:bigint>").alias("lost"))
+        self._write_run(run, f"{here}/index", bits)
         if now["runs"]:
-            vectors = vectors.unionByName(self._bits(gone).withColumnRenamed("__bits", "__gone"))
-        vectors.write.mode("overwrite").parquet(f"{here}/vectors")
-        self._commit({"version": version, "files": [*now["files"], *files], "batches": [*now["batches"], batch_id], "runs": [*now["runs"], version]})
+            lost = self.spark.read.schema(run.schema).parquet(f"{here}/index").where("lost IS NOT NULL").select("lost.*")
+            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("pos") % 64).cast("int"))
+            words = lost.groupBy("batch", "file", _word(F.col("pos")).alias("word")).agg(F.call_function("bit_or", bit).alias("bits"))
+            words.write.mode("overwrite").parquet(f"{here}/words")
+        state = {"data": [*now["data"], version], "runs": [*now["runs"], version], "bits": bits, "schema": now["schema"] or batch.schema.json()}
+        self.manifests.commit(now, state, batch_id)
         if len(now["runs"]) + 1 > self.merge_at:
             self.merge()
         return version
 
-    def _commit(self, state: dict) -> None:
-        shared.write_text(self.spark, f"{self.root}/manifest/{state['version']}", json.dumps(state))
+    @staticmethod
+    def _bits_for(weight: int) -> int:
+        return min(MOST_BITS, (weight // PER_SHELF).bit_length())
 
-    def _run(self, state: dict, what: str) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.root}/v{r}/{what}" for r in state["runs"]])
+    @staticmethod
+    def _shelf(bits: int) -> Column:
+        """The first bits of a key's hash."""
+        return (F.shiftrightunsigned("hi", 64 - bits) if bits else F.lit(0)).cast("int")
 
-    def _bits(self, ranked: DataFrame) -> DataFrame:
-        """Bitmaps of the positions in ``__rank``, per file and block."""
-        at = ranked.select(F.col("__rank.f").alias("__file"), (-F.col("__rank.p")).alias("__pos"))
-        return at.groupBy("__file", _block(F.col("__pos")).alias("__block")).agg(F.bitmap_construct_agg(F.col("__pos") % BLOCK).alias("__bits"))
+    def _write_run(self, rows: DataFrame, path: str, bits: int) -> None:
+        """With several shelves the rows are range-split by hash first, so that a task writes to few of them."""
+        if not bits:
+            rows.write.mode("overwrite").parquet(path)
+            return
+        rows = rows.repartitionByRange(max(shared.shuffle_partitions(self.spark), 1 << bits), "hi").sortWithinPartitions("hi")
+        rows.withColumn("shelf", self._shelf(bits)).write.mode("overwrite").partitionBy("shelf").parquet(path)
+
+    def _index(self, state: dict, place: T.StructType) -> DataFrame:
+        """The places of all runs that stood when their run was written; of a key's the largest stands now."""
+        schema = T.StructType().add("hi", T.LongType()).add("lo", T.LongType()).add("at", place)
+        if state["bits"]:
+            schema = schema.add("shelf", T.IntegerType())
+        runs = [self.spark.read.schema(schema).parquet(f"{self.root}/v{r}/index") for r in state["runs"]]
+        out = runs[0]
+        for r in runs[1:]:
+            out = out.unionByName(r)
+        return out.where("at IS NOT NULL")
 
     def merge(self) -> None:
-        """Make one run of the index's runs and one set of bitmaps of all."""
-        now = self._manifest()
+        """Make one run of the index's runs and one set of words of all."""
+        now = self.manifests.newest()
         if len(now["runs"]) < 2:
             return
         here = f"{self.root}/v{now['version'] + 1}"
-        self._run(now, "index").groupBy(*self.key).agg(F.max("__rank").alias("__rank")).write.mode("overwrite").parquet(f"{here}/index")
-        self._run(now, "vectors").groupBy("__file", "__block").agg(F.bitmap_or_agg("__gone").alias("__gone")).write.mode("overwrite").parquet(f"{here}/vectors")
-        self._commit(now | {"version": now["version"] + 1, "runs": [now["version"] + 1]})
+        bits = self._bits_for(sum(shared.sizes(self.spark, f"{self.root}/v{r}/index") for r in now["runs"]))
+        place = self._placed(f"{self.root}/data/{now['data'][0]}", T.StructType.fromJson(json.loads(now["schema"])), 0).schema["new"].dataType
+        best = self._index(now, place).groupBy("hi", "lo").agg(F.max("at").alias("at"))
+        self._write_run(best, f"{here}/index", bits)
+        self._words(now).write.mode("overwrite").parquet(f"{here}/words")
+        self.manifests.commit(now, {"runs": [now["version"] + 1], "bits": bits})
+
+    def _words(self, now: dict) -> DataFrame:
+        schema = "batch int, file bigint, word bigint, bits bigint"
+        paths = [p for r in now["runs"] if shared.exists(self.spark, p := f"{self.root}/v{r}/words")]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        words = self.spark.read.schema(schema).parquet(*paths)
+        return words if len(paths) == 1 else words.groupBy("batch", "file", "word").agg(F.call_function("bit_or", F.col("bits")).alias("bits"))
 
     def read(self, columns: Sequence[str] | None = None) -> DataFrame:
         """The standing rows, as stored, tombstones among them.
 
-        The bitmaps, an eighth of a byte per row, are broadcast while they are below the
-        limit; beyond it rows and bitmaps are joined by file and block.
+        Each file's words are broadcast to the tasks that read it: files are read in groups whose words are below the
+        limit together (a file whose own words exceed it makes a group, and Spark joins that one as it sees fit), and
+        the groups are united.  The rows themselves are never shuffled.
         """
-        now = self._manifest()
+        now = self.manifests.newest()
         if not now["version"]:
             raise ValueError("no batch was applied yet")
-        vectors = self._run(now, "vectors")
-        size = vectors.count() * BLOCK // 8
-        if len(now["runs"]) > 1:
-            vectors = vectors.groupBy("__file", "__block").agg(F.bitmap_or_agg("__gone").alias("__gone"))
-        vectors = vectors.select("__file", "__block", _words("__gone").alias("__gone"))
-        if size <= self.broadcast_limit:
-            vectors = F.broadcast(vectors)
-        rows = self.spark.read.parquet(*now["files"])
+        words = self._words(now)
+        schema = T.StructType.fromJson(json.loads(now["schema"]))
+        # One row per file with a bit set, as many as Spark's own list of files at most.
+        loads = {(r[0], r[1]): r[2] for r in words.groupBy("batch", "file").agg(F.count(F.lit(1)).alias("n")).collect()}
+        most = max(1, self.broadcast_limit // WORD_BYTES)
+        groups: list[tuple[list[str], int, list[int]]] = []
+        if sum(loads.values()) <= most:
+            groups.append(([f"{self.root}/data/{v}" for v in now["data"]], sum(loads.values()), []))
+        else:
+            for v in now["data"]:
+                for f in self.spark.read.schema(schema).parquet(f"{self.root}/data/{v}").inputFiles():
+                    n = loads.get((v, _number(f)), 0)
+                    if groups and groups[-1][1] + n <= most and groups[-1][2] == [v]:
+                        groups[-1] = ([*groups[-1][0], f], groups[-1][1] + n, [v])
+                    else:
+                        groups.append(([f], n, [v]))
+        out = None
+        for paths, n, versions in groups:
+            rows = self._read_group(paths, schema, words, n, versions, columns)
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def _read_group(self, paths: list[str], schema: T.StructType, words: DataFrame, n: int, versions: list[int], columns: Sequence[str] | None) -> DataFrame:
+        rows = self.spark.read.schema(schema).parquet(*paths)
         kept = list(columns) if columns is not None else rows.columns
         at = rows.metadataColumn("_metadata")
         # The row travels as one struct, so that no column of the data meets one of ours.
-        rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), F.xxhash64(at["file_path"]).alias("__file"), at["row_index"].alias("__pos"))
-        rows = rows.withColumn("__block", _block(F.col("__pos")))
-        word = F.element_at("__gone", (F.call_function("div", F.col("__pos") % BLOCK, F.lit(64)) + 1).cast("int"))
-        bit = F.expr("cast(__pos % 64 as int)")
-        seen = rows.join(vectors, ["__file", "__block"]).where(F.call_function("shiftright", word, bit).bitwiseAND(F.lit(1)) == 0)
-        return seen.select("__row.*")
+        row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+        if not n:
+            return rows.select(row).select("row.*")
+        rows = rows.select(row, F.xxhash64(at["file_name"]).alias("file"), at["row_index"].alias("pos")).withColumn("word", _word(F.col("pos")))
+        if versions:
+            words = words.where((F.col("batch") == versions[0]) & F.col("file").isin([_number(p) for p in paths]))
+        mine = words.select("file", "word", "bits")
+        if n <= max(1, self.broadcast_limit // WORD_BYTES):
+            mine = F.broadcast(mine)
+        bit = F.call_function("shiftright", F.col("bits"), F.expr("cast(pos % 64 as int)")).bitwiseAND(F.lit(1))
+        return rows.join(mine, ["file", "word"], "left").where(F.coalesce(bit, F.lit(0)) == 0).select("row.*")

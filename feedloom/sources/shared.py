@@ -116,6 +116,11 @@ def sizes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a written table holds anything but markers."""
+    return any(not n.startswith((".", "_")) for n in names(spark, path))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p, _ = _fs(spark, path)
     return fs.exists(p)
