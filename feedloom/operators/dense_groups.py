@@ -3,7 +3,8 @@
 Rows are never moved by key.  Each input split encodes its keys by a dictionary and adds
 into dense arrays (numpy bincount and scatter-maximum), then hands out one array block per
 block of keys.  The blocks are added up in two rounds, so a hot key costs as many array
-cells as there are splits, however many rows it has.
+cells as there are splits, however many rows it has.  There are as many blocks as leave a bounded
+share of the table's bytes to each, and so of its keys, which can't be more.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.sources.shared import shuffle_partitions
+from feedloom.sources.shared import blocks_for
 
 _SEP = "\x00"
+#: Keys that one row of arrays holds at most.
+CHUNK = 1 << 16
 
 
 class _Arrays:
@@ -48,6 +51,13 @@ class _Arrays:
             top[at_ok] = np.where(has[at_ok], np.maximum(top[at_ok], value), value)
             has[at_ok] = True
 
+    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+        """All keys held, as rows of at most CHUNK of them."""
+        keys = list(self.code)
+        for lo in range(0, len(keys), CHUNK):
+            at = slice(lo, min(lo + CHUNK, len(keys)))
+            yield _row(block, 0, keys[at], self.n[at], [(t[at], h[at]) for t, h in zip(self.top, self.has)])
+
     def blocks(self, blocks: int, share: int) -> Iterator[pa.RecordBatch]:
         keys = list(self.code)
         if not keys:
@@ -55,7 +65,8 @@ class _Arrays:
         where = np.fromiter((zlib.crc32(_SEP.join("\x01" if p is None else p for p in k).encode("utf-8", "surrogatepass")) % blocks for k in keys), np.int64, len(keys))
         order = np.argsort(where, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
-            yield _row(int(where[part[0]]), share, [keys[i] for i in part], self.n[part], [(t[part], h[part]) for t, h in zip(self.top, self.has)])
+            for cut in np.split(part, range(CHUNK, len(part), CHUNK)):
+                yield _row(int(where[part[0]]), share, [keys[i] for i in cut], self.n[cut], [(t[cut], h[cut]) for t, h in zip(self.top, self.has)])
 
 
 def _row(block: int, share: int, keys: list[tuple], n: np.ndarray, tops: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -88,15 +99,15 @@ def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(zero_copy_only=False), ~column.is_null().to_numpy(zero_copy_only=False)
 
 
-def dense_group_totals(rows: DataFrame, keys: Sequence[str], maxima: Sequence[str], fan_in: int = 64, flush_at: int = 1 << 20) -> DataFrame:
+def dense_group_totals(rows: DataFrame, keys: Sequence[str], maxima: Sequence[str], fan_in: int = 64, flush_at: int = 1 << 20, per_block: int = 8 << 20) -> DataFrame:
     """Per key: ``n``, the rows, and the largest value of each column in ``maxima`` (as ``max_<column>``).
 
     A key of the name ``n`` makes the count ``_n``.  Keys are strings; null is a key value of its own.  Maxima are over bigints, null where a key
     has no value.  A split whose dictionary reaches ``flush_at`` keys hands its arrays out and starts
-    anew, so memory doesn't grow with the number of keys.  An empty input gives no rows.
+    anew, so memory doesn't grow with the number of keys.  A block of keys has about ``per_block`` bytes of the
+    table's keys or less.  An empty input gives no rows.
     """
-    spark = rows.sparkSession
-    blocks, nk, nm = shuffle_partitions(spark), len(keys), len(maxima)
+    blocks, nk, nm = blocks_for(rows, per_block), len(keys), len(maxima)
     slim = rows.select(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)], *[F.col(m).cast("bigint").alias(f"m{i}") for i, m in enumerate(maxima)], F.spark_partition_id().alias("split"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +139,7 @@ def dense_group_totals(rows: DataFrame, keys: Sequence[str], maxima: Sequence[st
             codes = sums.codes(list(zip(*ks)))
             for lo, hi in zip([0, *ends], ends):
                 sums.add(codes[lo:hi], n[lo:hi], [(v[lo:hi], ok[lo:hi]) for v, ok in tops])
-        at = list(sums.code.values())
-        out = _row(key[0].as_py(), 0, list(sums.code), sums.n[at], [(t[at], h[at]) for t, h in zip(sums.top, sums.has)])
-        return pa.Table.from_batches([out])
+        return pa.Table.from_batches(list(sums.rows(key[0].as_py())))
 
     schema = _schema(nk, nm)
     part = slim.mapInArrow(split, schema)
