@@ -11,7 +11,7 @@ from feedloom.operators.delete_vectors import DeleteVectorTable
 from feedloom.operators.dense_groups import dense_group_totals
 from feedloom.operators.differential import fold, late_corrected, roll_up, version_of
 from feedloom.operators.identifier_index import IdentifierIndex, offer_in_order
-from feedloom.operators.incremental import CaptureJob, covers_from_takes, uncovered
+from feedloom.operators.incremental import CaptureJob, covers_from_takes, gaps, within
 from feedloom.operators.reconcile import compare_copies
 from feedloom.functions.keys import norm_prefix
 from feedloom.sources.shared import materialize, scratch
@@ -100,11 +100,28 @@ def p1_ring_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 2: a stream of inserts, updates and deletes ---------------------------------------
 
 
-def _state(spark: SparkSession, sf_dir: str) -> DeleteVectorTable:
+#: The feed is applied in this many slices of its order of delivery.
+SLICES = 4
+
+
+def _slices(rows: DataFrame, parts: int) -> list[DataFrame]:
+    """The feed as it was delivered, in ``parts`` slices; none if it is empty."""
+    low, high = rows.agg(F.min("delivery_id"), F.max("delivery_id")).first()
+    if low is None:
+        return []
+    width = max(1, -(-(high - low + 1) // parts))
+    d = F.col("delivery_id")
+    return [rows.where((d >= start) & (d < start + width)) for start in range(low, high + 1, width)]
+
+
+def _state(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    """The standing rows of the feed, applied slice by slice through the index of those before."""
     key = {"partition_name": F.col("partition_name"), "prefix": norm_prefix("prefix"), "row_key": F.col("row_key")}
     t = DeleteVectorTable(spark, scratch(spark, "state"), key, ["value_timestamp", "value_version"], ["tx_id", "delivery_id"])
-    t.apply(f"{sf_dir}/feed_rows.parquet", "feed")
-    return t
+    rows = table(spark, sf_dir, "feed_rows").select(*dict.fromkeys([*columns, "partition_name", "prefix", "row_key", "value_timestamp", "value_version", "tx_id", "delivery_id"]))
+    for i, part in enumerate(_slices(rows, SLICES) or [rows]):
+        t.apply(part, f"slice-{i}")
+    return t.read(columns)
 
 
 _STATE_SQL = """
@@ -115,7 +132,7 @@ QUALIFY row_number() OVER (PARTITION BY partition_name, coalesce(prefix, ''), ro
 
 @query(_STATE_SQL + "SELECT partition_name, prefix, row_key, tx_id FROM s WHERE NOT value_tombstoned")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _state(spark, sf_dir).read(["partition_name", "prefix", "row_key", "tx_id", "value_tombstoned"])
+    rows = _state(spark, sf_dir, ["partition_name", "prefix", "row_key", "tx_id", "value_tombstoned"])
     return rows.where(~F.coalesce("value_tombstoned", F.lit(False))).select("partition_name", norm_prefix("prefix").alias("prefix"), "row_key", "tx_id")
 
 
@@ -123,7 +140,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The standing row of every key, tombstones included."""
     cols = ["partition_name", "prefix", "row_key", "row_value", "value_timestamp", "value_tombstoned", "value_version", "tx_id", "delivery_id"]
-    return _state(spark, sf_dir).read(cols).withColumn("prefix", norm_prefix("prefix"))
+    return _state(spark, sf_dir, cols).withColumn("prefix", norm_prefix("prefix"))
 
 
 # --- 3: differences between two copies ---------------------------------------------------
@@ -205,11 +222,26 @@ def p5_pair_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TAKER = ["ring_member", "partition_name", "partition_version"]
 
 
-def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every taker must still be given, in two runs: one over the first half of the deliveries, one over what came
+    since.  The second run breaks off after its plan is written, as in a crash, and a new job takes the plan up."""
     takes = table(spark, sf_dir, "row_takes")
     success = F.lower(F.trim("outcome")) == "tookfrom"
-    covers = covers_from_takes(takes, table(spark, sf_dir, "highwaters"), success)
-    return uncovered(table(spark, sf_dir, "feed_rows"), takes, covers, _TAKER, _TAKER[1:], "tx_id", "remote_tx_id", "highwater_tx_id")
+    openings = materialize(gaps(takes, covers_from_takes(takes, table(spark, sf_dir, "highwaters"), success), _TAKER, "remote_tx_id", "highwater_tx_id"), "gaps")
+
+    def untaken(rows: DataFrame) -> DataFrame:
+        return within(rows, openings, _TAKER, _TAKER[1:], "tx_id")
+
+    rows = table(spark, sf_dir, "feed_rows").select("delivery_id", *_TAKER[1:], "tx_id")
+    root = scratch(spark, "takes")
+    halves = _slices(rows, 2)
+    if not halves:
+        return untaken(rows)
+    CaptureJob(spark, root, _TAKER[1:], "delivery_id", _TAKER, "tx_id").run(halves[0], untaken)
+    CaptureJob(spark, root, _TAKER[1:], "delivery_id", _TAKER, "tx_id").plan(rows)
+    job = CaptureJob(spark, root, _TAKER[1:], "delivery_id", _TAKER, "tx_id")
+    job.run(rows, untaken)
+    return job.sink().select(*_TAKER, "tx_id")
 
 
 _PENDING_SQL = """
@@ -224,12 +256,10 @@ q AS (SELECT p.*, (SELECT max(reach) FROM r WHERE r.ring_member = p.ring_member
 
 @query(_PENDING_SQL + "SELECT ring_member, partition_name, partition_version, tx_id FROM q WHERE reach IS NULL OR reach < tx_id")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    job = CaptureJob(spark, scratch(spark, "takes"), _TAKER, "tx_id")
-    n = job.run(lambda: _pending(spark, sf_dir), lambda planned: planned)
-    return job.sink().select(*_TAKER, "tx_id") if n is not None else None
+    return _given(spark, sf_dir)
 
 
 @query(_PENDING_SQL + "SELECT ring_member, partition_name, partition_version, count(*) AS pending, min(tx_id) AS first_tx_id FROM q WHERE reach IS NULL OR reach < tx_id GROUP BY ALL")
 def p6_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each taker still has to take."""
-    return _pending(spark, sf_dir).groupBy(*_TAKER).agg(F.count(F.lit(1)).alias("pending"), F.min("tx_id").alias("first_tx_id"))
+    return _given(spark, sf_dir).groupBy(*_TAKER).agg(F.count(F.lit(1)).alias("pending"), F.min("tx_id").alias("first_tx_id"))

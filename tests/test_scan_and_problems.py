@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.keys import norm_prefix
 from feedloom.operators import differential as diff
-from feedloom.operators import incremental, inspect, sync
+from feedloom.operators import delete_vectors, incremental, inspect, sync
 from feedloom.operators.delete_vectors import DeleteVectorTable
 from feedloom.operators.dense_groups import dense_group_totals
 from feedloom.operators.identifier_index import IdentifierIndex, offer_in_order
 from feedloom.operators.prefix_scan import prefix_scan, runs
-from feedloom.operators.reconcile import compare_copies
+from feedloom.operators.reconcile import compare_copies, row_checksums
+from feedloom.sources import shared
+from feedloom.sources.manifests import Conflict
 
 
 def skewed(r, n):
@@ -202,7 +204,8 @@ def test_delete_vectors_after_a_failure(spark, folder):
     rows = some_changes(4, 60)
     t = table(spark, folder)
     t.apply(spark.createDataFrame(rows[:30], CHANGES), "a")
-    spark.createDataFrame(rows[30:40], CHANGES).write.parquet(f"{folder}/data/b")  # a batch that died half way
+    spark.createDataFrame(rows[30:40], CHANGES).write.parquet(f"{folder}/data/2")  # a batch that died half way
+    shared.write_text(spark, t.manifests._marker("b"), "2")
     t.apply(spark.createDataFrame(rows[30:], CHANGES), "b")
     assert {(r["part"], r["prefix"] or "", r["key"]): r["tx"] for r in t.read().collect()} == standing(rows)
 
@@ -217,14 +220,54 @@ def test_delete_vectors_leave_clashing_columns_alone(spark, folder):
     assert {(r["__file"], r["__pos"], r["_metadata"], r["a.b"]) for r in got.collect()} == {("__file", "__pos", "_metadata", "a.b")}
 
 
+def test_delete_vectors_read_without_moving_rows(spark, folder):
+    """Beyond the limit files are read in groups, each with its own words: no exchange over the rows."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = table(spark, folder, broadcast_limit=64)
+        for b in range(4):
+            t.apply(spark.createDataFrame([("p", "x", str(i), f"v{b}", b, 0, b * 100 + i, False) for i in range(60)], CHANGES).repartition(2), f"b{b}")
+        small, big = t.read(), table(spark, folder).read()
+        plan = small._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Union") >= 1
+        # Every exchange is of words, none of rows: what is joined from the files' side is a scan.
+        physical = table(spark, folder).read()._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in physical and "SortMergeJoin" not in physical
+        assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
+        assert small.count() == 60
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("small", [0, 1 << 40])
+def test_delete_vectors_by_shelf(spark, folder, monkeypatch, small):
+    monkeypatch.setattr(delete_vectors, "PER_SHELF", 1 << 10)
+    monkeypatch.setattr(delete_vectors, "SMALL_BATCH", small)
+    rows = some_changes(8, 160)
+    t = table(spark, folder, merge_at=2)
+    for b in range(4):
+        t.apply(spark.createDataFrame(rows[b::4], CHANGES), f"b{b}")
+    assert t.manifests.newest()["bits"] > 0
+    assert {(r["part"], r["prefix"] or "", r["key"]): r["tx"] for r in t.read().collect()} == standing(rows)
+
+
+def test_two_writers_lose_nothing(spark, folder):
+    t, other = table(spark, folder), table(spark, folder)
+    before = other.manifests.newest()
+    t.apply(spark.createDataFrame(some_changes(9, 20), CHANGES), "mine")
+    with pytest.raises(Conflict):
+        other.manifests.commit(before, {"data": []}, "theirs")
+    assert other.manifests.newest()["batch"] == "mine" and other.manifests.version_of("theirs") is None
+
+
 def test_delete_vectors_over_files_and_empty(spark, folder):
     rows = some_changes(5, 90)
     spark.createDataFrame(rows, CHANGES).repartition(4).write.parquet(f"{folder}/files")
     t = table(spark, f"{folder}/t")
     t.apply(f"{folder}/files", "all")
     assert t.read(["tx"]).count() == len(standing(rows))
-    with pytest.raises(ValueError):
-        t.apply(f"{folder}/files", "again")
+    t.apply(f"{folder}/files", "again")  # equal rows change nothing
+    assert t.read(["tx"]).count() == len(standing(rows))
     e = table(spark, f"{folder}/e")
     e.apply(spark.createDataFrame([], CHANGES), "none")
     assert e.read().count() == 0
@@ -277,6 +320,21 @@ def test_compare_clashing_names(spark):
     assert [tuple(r) for r in compare_copies(one, two, ["side"], ["token"], ["token"]).collect()] == [("b", "token")]
 
 
+def test_compare_tied_rows(spark):
+    """Two rows of a copy are equally new and differ: the larger value counts, whichever the checksums would have met."""
+    a = [("p", str(i), v, 1, False, 1) for i in range(40) for v in ("x", "y")]
+    b = [("p", str(i), "y" if i % 2 else "x", 1, False, 1) for i in range(40)]
+    assert {tuple(x) for x in compare_copies(*[spark.createDataFrame(x, COPY) for x in (a, b)], ["part", "key"], FIELDS, ["ts", "version"], rows_per_leaf=2).collect()} == {("p", str(i), "value") for i in range(0, 40, 2)}
+
+
+def test_compare_moves_only_what_differs(spark):
+    """Fields are shuffled after the checksums only: the first aggregation knows hashes and the newest columns alone."""
+    rows = spark.createDataFrame([("p", "k", "v", 1, False, 1)], COPY).withColumn("side", F.lit(0))
+    plan = row_checksums(rows, ["part", "key"], FIELDS, ["ts", "version"])._jdf.queryExecution().executedPlan().toString()
+    exchanged = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(exchanged) == 1 and "value" not in exchanged[0] and "key" not in exchanged[0]
+
+
 def test_compare_empty(spark):
     e, one = spark.createDataFrame([], COPY), spark.createDataFrame([("p", "k", None, 1, None, 1)], COPY)
     keys = (["part", "key"], FIELDS, ["ts", "version"])
@@ -314,9 +372,35 @@ def test_identifier_index(spark, folder):
     assert IdentifierIndex.bits_for(0) == 4 and IdentifierIndex.bits_for(1 << 40) == 25
 
 
+def test_identifier_index_grows_and_opens_few_shelves(spark, folder):
+    index = IdentifierIndex(spark, folder, [F.col("id")], "seq", bits=9, merge_at=1, per_array=1)
+    df = spark.range(6000).withColumn("seq", F.col("id"))
+    index.offer(df.where("id < 3000"), "a")
+    index.offer(df.where("id >= 2000"), "b")
+    now = index.manifests.newest()
+    assert now["bits"] == IdentifierIndex.bits_for(6000, 1) and len(now["runs"]) == 1  # arrays were split
+    assert sorted(x[0] for x in index.kept().collect()) == list(range(6000))
+    one = index._read(now, [3])
+    assert "PartitionFilters: [isnotnull(shelf" in one._jdf.queryExecution().executedPlan().toString()
+    assert 0 < one.count() < index._read(now).count() / 8
+    index.offer(df.withColumn("seq", F.col("seq") + 10_000).where("id < 5"), "copies")
+    assert index.kept().count() == 6000
+
+
 # --- 5 ---
 
 
+def test_dense_groups_with_a_million_keys(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        df = spark.range(0, 1_200_000, 1, 6).select((F.col("id") % 1_000_000).cast("string").alias("k"), F.col("id").alias("v"))
+        got = dense_group_totals(df, ["k"], ["v"], per_block=1 << 20)
+        told = got.agg(F.count("*"), F.sum("n"), F.count_if(F.col("n") == 2), F.count_if(F.col("max_v").cast("string") == F.col("k"))).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert tuple(told) == (1_000_000, 1_200_000, 200_000, 800_000)
+
+
 def test_dense_groups(spark):
     r = random.Random(2)
     rows = [("hot" if r.random() < 0.5 else r.choice([None, "", "a", "é\u0000b"]), r.choice([None, "", "x"]), r.choice([None, r.randrange(-99, 99)])) for _ in range(500)]
@@ -351,27 +435,27 @@ def test_uncovered(spark):
 
 
 def test_capture_job_survives_failures(spark, folder):
-    job = incremental.CaptureJob(spark, folder, ["part"], "tx")
-    log = spark.createDataFrame([("p", i, f"v{i}") for i in range(10)], "part string, tx bigint, v string")
-    upto = [4]
-
-    def pending():
-        done = job.sink()
-        offsets = done.groupBy("part").agg(F.max("tx").alias("tx")) if done is not None else None
-        return incremental.new_since(log.where(F.col("tx") <= upto[0]), offsets, ["part"], "tx")
+    make = lambda: incremental.CaptureJob(spark, folder, ["part"], "at", ["part"], "tx")
+    # Positions rise with delivery; transactions come in disorder and again.
+    log = spark.createDataFrame([("p", i, t) for i, t in enumerate([5, 3, 5, 1, 4, 2, 3, 9])] + [(None, 0, 7), ("q", 3, 1)], "part string, at bigint, tx bigint")
+    upto = lambda n: log.where(F.col("at") <= n)
 
     def broken(rows):
         raise RuntimeError("lost")
 
     with pytest.raises(RuntimeError):
-        job.run(pending, broken)
-    upto[0] = 9  # more has come, but the open plan is replayed as it was written
-    assert job.open_plan() == 0
-    job.run(pending, lambda rows: rows)
-    assert {r["tx"] for r in job.sink().collect()} == set(range(5))
-    n = job.plan(pending)
-    job.deliver(n, job.planned(n).unionByName(job.planned(n)))  # delivered, then lost before the commit
-    job.run(pending, lambda rows: rows)
-    assert sorted(r["tx"] for r in job.sink().collect()) == list(range(10))
-    job.run(pending, lambda rows: rows)  # nothing new
-    assert job.sink().count() == 10
+        make().run(upto(2), broken)
+    assert make().offsets() is None and make().open_plan() == 0
+    make().run(upto(5), lambda rows: rows)  # more has come, but the open plan is replayed as it was written
+    assert {(r["part"], r["tx"]) for r in make().sink().collect()} == {("p", 5), ("p", 3), (None, 7)}
+    assert {(r["part"], r["position"]) for r in make().offsets().collect()} == {("p", 2), (None, 0)}
+    job = make()
+    n = job.plan(upto(7))
+    assert {(r["part"], r["from_position"], r["to_position"]) for r in job.ranges(n).collect()} == {("p", 2, 7), ("q", None, 3)}
+    job.deliver(n, job.planned(n, log).unionByName(job.planned(n, log)))  # delivered, then lost before the commit
+    assert make().sink().count() == 3
+    make().run(log, lambda rows: rows)
+    want = [("p", t) for t in (1, 2, 3, 4, 5, 9)] + [("q", 1), (None, 7)]
+    assert sorted(map(str, ((r["part"], r["tx"]) for r in make().sink().collect()))) == sorted(map(str, want))
+    make().run(log, lambda rows: rows)  # nothing new
+    assert make().sink().count() == len(want) and make().offsets().count() == 3
