@@ -32,7 +32,7 @@ from feedloom.sources.manifests import Manifests
 #: Bytes that a shelf of the index is meant to hold; the number of shelves is set by the first batch and by merges.
 PER_SHELF = 64 << 20
 #: Bytes of images up to which a batch's keys are broadcast to look them up, so that the index isn't shuffled.
-SMALL_BATCH = 16 << 20
+SMALL_BATCH = 1 << 20
 #: Shelves at most, as powers of two: folders of a run, and numbers on the driver.
 MOST_BITS = 12
 #: What a word takes in memory when it is broadcast, at most: key, bits and the hash table's share.
