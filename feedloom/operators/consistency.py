@@ -138,6 +138,14 @@ def leaderless_ring(members: Sequence[str], leader: str | None) -> list[str]:
     return [m for m in members if m != leader]
 
 
+def quorum_merge(answers: Sequence[DataFrame]) -> DataFrame:
+    """Replicas' logs as one.  Each replica numbers its own rows, so of rows equal in timestamp and version any may stand."""
+    out = answers[0]
+    for a in answers[1:]:
+        out = out.unionByName(a)
+    return out
+
+
 def quorum_state(log: DataFrame, replicas: Sequence[Any], member: str = "replica") -> DataFrame:
     """The answers of the replicas as one state: the newest row of every key."""
     return lww(log.where(F.col(member).isin(list(replicas))))
@@ -155,22 +163,20 @@ def quorum_scan(log: DataFrame, replicas: Sequence[Any], member: str = "replica"
 def take_categories(members: Sequence[str], root: str | None, system: bool = False) -> list[tuple[str, int]]:
     """Neighbours in the order they are asked, with their category (1 first).
 
-    Neighbours are visited at distances 1, 2, 4, ... from each one not visited yet; a category has
-    half the ring, on system rings as many as there are bits in its size.
+    The others stand in a circle from the root on.  Every one in turn asks for those at distances 1, 2, 4, ...
+    behind it, itself at the last; of each neighbour the first asking counts, and one already asked for asks no more.
+    A category has half the ring, on system rings as many as there are bits in its size.
     """
     n = len(members)
-    factor = max(1, (n - 1).bit_length()) if system else max(n // 2, 1)
-    at = members.index(root) if root in members else -1
-    line = [members[(at + 1 + i) % n] for i in range(n - (at >= 0))]
-    seen: list[str] = []
-    for start, first in enumerate(line):
-        if first in seen:
-            continue
-        distances = [1 << i for i in range(len(line).bit_length())]
-        for d in distances:
-            if (m := line[(start + d - 1) % len(line)]) not in seen:
-                seen.append(m)
-    return [(m, 1 + i // factor) for i, m in enumerate(seen)]
+    each = max(1, (n - 1).bit_length()) if system else max(n // 2, 1)
+    cut = members.index(root) + 1 if root in members else 0
+    circle = [m for m in [*members[cut:], *members[:cut]] if m != root]
+    doublings = [2**i for i in range(len(circle).bit_length())]
+    order: dict[str, None] = {}
+    for place, asker in enumerate(circle):
+        if asker not in order:
+            order.update(dict.fromkeys(circle[(place + d - 1) % len(circle)] for d in doublings))
+    return [(m, 1 + i // each) for i, m in enumerate(order)]
 
 
 def slow_category(lags: DataFrame, factor: int, slow: int) -> DataFrame:

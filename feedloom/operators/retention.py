@@ -85,16 +85,20 @@ def compact(log: DataFrame, cut: Cutoffs, keys: Sequence[str] = KEY) -> DataFram
     return classify(log, cut, keys).where(F.col("fate") == "keep").drop("fate")
 
 
-def purge_stats(log: DataFrame, cut: Cutoffs, keys: Sequence[str] = KEY, by: Sequence[str] = ()) -> DataFrame:
+def stats_of(fates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts per fate, and the oldest timestamp and version of kept live and tombstoned rows (null if none), per ``by``."""
-    rows = classify(log, cut, keys)
     kept = F.col("fate") == "keep"
     dead = F.coalesce(F.col("tombstoned"), F.lit(False))
     counts = [F.count_if(F.col("fate") == f).alias(f"{f}s") for f in ("clobber", "tombstone", "ttl", "disposal", "keep")]
     oldest = [
         F.min(F.when(kept & (dead if gone else ~dead), F.col(c))).alias(f"oldest_{'tombstoned_' if gone else ''}{c}") for gone in (False, True) for c in ("ts_id", "version")
     ]
-    return rows.groupBy(*by).agg(*counts, *oldest)
+    return fates.groupBy(*by).agg(*counts, *oldest)
+
+
+def purge_stats(log: DataFrame, cut: Cutoffs, keys: Sequence[str] = KEY, by: Sequence[str] = ()) -> DataFrame:
+    """What a compaction by ``cut`` would count (see ``stats_of``)."""
+    return stats_of(classify(log, cut, keys), by)
 
 
 def should_compact(log: DataFrame, check: Cutoffs, factor: int = 2, keys: Sequence[str] = KEY, whole_division: bool = True) -> DataFrame:

@@ -32,24 +32,46 @@ def watch(stream: DataFrame, call: Callable[[DataFrame, int], None], checkpoint:
     return stream.writeStream.foreachBatch(call).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def replicate(stream: DataFrame, store: LogStore, checkpoint: str) -> StreamingQuery:
-    """Apply a stream of log rows to another log.  A repeated batch adds equal rows, which change nothing that stands."""
-    return watch(stream, lambda rows, _: store.append(rows), checkpoint)
+def replicate(stream: DataFrame, store: LogStore, checkpoint: str, member: str | None = None, resolve: bool = False) -> StreamingQuery:
+    """Apply a stream of log rows to another log, as one member takes from another.
+
+    Each batch advances the highwater of ``member`` together with its rows, which is what acknowledges them; a repeated
+    batch adds nothing.  With ``resolve`` rows no newer than what stands are dropped on arrival, so the
+    replica has the same state but not the same history.  A store with too many pending rows is merged first.
+    """
+
+    def step(rows: DataFrame, _: int) -> None:
+        if store.mergeable():
+            store.merge()
+        store.append(rows, member, resolve)
+
+    return watch(stream, step, checkpoint)
 
 
 def sync(stream: DataFrame, store: LogStore, cursors: str, checkpoint: str, member: str = "replica", **window: int) -> StreamingQuery:
-    """Filter, shift and apply a stream, and keep the cursors of everything taken below ``cursors``."""
+    """Filter, shift and commit a stream's rows to another log, and keep the cursors of everything taken below ``cursors``.
+
+    The target gives its own transactions and versions, and drops what isn't newer than what it has, so a
+    batch applied again changes nothing.
+    """
 
     def step(rows: DataFrame, batch: int) -> None:
-        store.append(window_shift(rows, **window))
+        if store.mergeable():
+            store.merge()
+        store.commit(window_shift(rows, **window).select("prefix", "key", "value", "ts_id", "tombstoned", "seq"))
         cursor(rows, member).write.mode("overwrite").parquet(f"{cursors}/{batch}")
 
     return watch(stream, step, checkpoint)
 
 
-def read_cursors(spark: SparkSession, cursors: str, member: str = "replica") -> DataFrame:
+def read_cursors(spark: SparkSession, cursors: str, member: str = "replica", from_member: str | None = None, to_member: str | None = None) -> DataFrame:
+    """How far each member's sync is; of members from ``from_member`` (inclusive) to ``to_member`` (exclusive) where given."""
     got = [f"{cursors}/{n}" for n in shared.names(spark, cursors)]
     rows = spark.read.parquet(*got)
+    if from_member is not None:
+        rows = rows.where(F.col(member) >= from_member)
+    if to_member is not None:
+        rows = rows.where(F.col(member) < to_member)
     return rows.groupBy(member).agg(*[F.max(c).alias(c) for c in ("tx_id", "max_ts_id", "max_version")])
 
 

@@ -153,3 +153,16 @@ def test_should_compact_rounds_down(spark):
     assert not retention.should_compact(df, retention.Cutoffs()).first()["needed"]  # 5 div 2 is not above 2
     assert retention.should_compact(df, retention.Cutoffs(), whole_division=False).first()["needed"]
     assert rows_of(retention.compact(df, retention.Cutoffs()).select("ts_id")) == [(5,)]
+
+
+def test_absent_and_empty_prefixes_are_one(spark):
+    log = spark.createDataFrame([(1, 0, None, "b", "", 1, False, 1), (2, 0, "", "a", "xyz", 1, False, 1), (3, 0, "p", "a", None, 1, True, 1)], "tx_id bigint, seq bigint, prefix string, key string, value string, ts_id bigint, tombstoned boolean, version bigint")
+    assert [r["key"] for r in reads.multi_range_scan(log, [reads.KeyRange()]).collect()] == ["a", "b"]
+    assert sorted(r["tx_id"] for r in changes.take_prefix_since(log, "", 0).collect()) == [1, 2]
+    again = log.where("key = 'b'").withColumns({"prefix": F.lit(""), "tx_id": F.lit(9).cast("bigint"), "ts_id": F.lit(2).cast("bigint")})
+    assert reads.delta_count(log, again).first()[0] == 2
+    asks = spark.createDataFrame([(i, k, o, n) for i, (k, o, n) in enumerate([("b", 0, 0), ("b", 0, 5), ("b", 1, 5), ("a", 0, 3), ("a", 0, 2), ("a", 2, 9), ("a", 3, 1), ("c", 0, 9), ("a", -1, 1)])], "pos int, key string, offset bigint, length bigint")
+    got = [tuple(r)[2:] for r in reads.get_offset(log, None, asks).orderBy("pos").collect()]
+    assert got == [("", 1, 1), ("", 1, 1), (None, 1, 1), ("xyz", 1, 1), ("xy", 1, 1), ("z", 1, 1), (None, 1, 1), (None, -1, -1), (None, 1, 1)]
+    assert reads.timestamped_get(log, "p", "a").count() == 0 and reads.timestamped_get(log, "", "b").first()["value"] == ""
+    assert reads.replica_count(log.where("false").selectExpr("1 AS n")).first()[0] == 0

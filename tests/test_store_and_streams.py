@@ -84,9 +84,103 @@ def test_damaged_manifest_is_passed_over(spark, folder):
     store.commit(up(b"1"))
     store.commit(up(b"2"))
     last = store.manifest()["version"]
-    shared.write_text(spark, f"{folder}/manifest/{last}", shared.read_text(spark, f"{folder}/manifest/{last}").replace('"pending": 2', '"pending": 3'))
+    shared.write_text(spark, f"{folder}/manifest/{last}", shared.read_text(spark, f"{folder}/manifest/{last}").replace('"n": 1', '"n": 3'))
     assert store.manifest()["version"] == last - 1
     assert [bytes(r["value"]) for r in store.state().collect()] == [b"1"]
+    store.commit(up(b"3"))  # goes behind the damaged one
+    assert store.manifest()["version"] == last + 1
+    assert [bytes(r["value"]) for r in store.state().collect()] == [b"3"]
+
+
+def test_a_commit_during_another_and_during_compaction_is_kept(spark, folder, monkeypatch):
+    up = lambda k: spark.createDataFrame(puts((k, b"v", 1)), "key binary, value binary, ts_id bigint, tombstoned boolean")
+    one, two = LogStore(spark, folder), LogStore(spark, folder)
+    one.commit(up(b"a"))
+    plain, came = LogStore._store, []
+
+    def slow(self, rows, tx):
+        entry = plain(self, rows, tx)
+        if self is one and not came:
+            came.append(two.commit(up(b"b")))  # another writer is quicker
+        return entry
+
+    monkeypatch.setattr(LogStore, "_store", slow)
+    one.commit(up(b"c"))
+    assert sorted(bytes(r["key"]) for r in one.state().collect()) == [b"a", b"b", b"c"]
+    blocks = shared.blocks_for
+    monkeypatch.setattr(shared, "blocks_for", lambda df: (two.commit(up(b"d")), blocks(df))[1])
+    one.compact()
+    now = one.manifest()
+    assert now["base"] and now["pending"] == 1
+    assert sorted(bytes(r["key"]) for r in one.state().collect()) == [b"a", b"b", b"c", b"d"]
+
+
+def test_take_opens_only_what_can_hold_later_transactions(spark, folder):
+    store = LogStore(spark, folder)
+    rows = [(t, 0, None, b"k%d" % t, b"v", 1, False, 1, "primary") for t in range(1, 200)]
+    store.append(spark.createDataFrame(rows[:150], LOG))
+    store.merge()
+    store.append(spark.createDataFrame(rows[150:], LOG))
+    for since in (-1, 0, 100, 148, 149, 150, 170, 199):
+        log = store.rows(since)
+        assert sorted(r["tx_id"] for r in changes.take_since(log, since).collect()) == [t for t in range(1, 200) if t > since]
+    assert store.rows(150).count() == 49  # the base isn't read
+    assert store.rows(148).where("tx_id <= 150").count() <= 3  # of the base one folder
+    assert store.append(spark.createDataFrame(rows[140:], LOG)) == 0  # a repeated batch adds nothing
+
+
+def test_replicas(spark, folder):
+    engine = Engine(spark, folder)
+    engine.create("p", consistency="quorum")
+    held = engine.replicas("p", ["a", "b", "c"])
+    held.commit("quorum", None, puts((b"x", b"1", 5), (b"y", b"1", 5)))
+    held.down = {"c"}
+    held.commit("quorum", None, puts((b"x", b"2", 6)))
+    held.down = {"b", "c"}
+    with pytest.raises(RuntimeError):
+        held.commit("quorum", None, puts((b"x", b"3", 7)))
+    with pytest.raises(RuntimeError):
+        held.get("quorum", None, [b"x"])
+    held.down = {"a"}
+    got = {bytes(r["key"]): r["value"] and bytes(r["value"]) for r in held.get("quorum", None, [b"x", b"y", b"z"]).collect()}
+    assert got == {b"x": b"2", b"y": b"1", b"z": None}
+    assert [bytes(r["value"]) for r in held.scan("quorum").collect()] == [b"2", b"1"]
+    take = held.take(["a", "c"])
+    assert take.member == "c" and take.rows.count() == 2 and take.highwaters["a"] == take.cursors["c"]
+    more = held.take(["c"], take.cursors)
+    assert more.rows.count() == 0 and more.cursors == take.cursors
+    assert held.pull("c", "b") == 1 and held.pull("c", "b") == 0
+    part = held.take(["b"], {}, limit=1)
+    assert part.rows.count() == 2 and part.highwaters is None  # both rows of the first transaction, and more to come
+    held.down = set()
+    assert held.approximate_count() >= 2
+    led = Engine(spark, folder).replicas("p", ["a", "b", "c"], "a")
+    led.down = {"a"}
+    with pytest.raises(ValueError):
+        led.get("leader", None, [b"x"])
+    assert [bytes(r["value"]) for r in led.get("leader_quorum", None, [b"x"]).collect()] == [b"2"]
+
+
+def test_replica_keeps_what_is_newer(spark, folder):
+    store = LogStore(spark, f"{folder}/r")
+    store.commit(spark.createDataFrame(puts((b"k", b"mine", 9)), "key binary, value binary, ts_id bigint, tombstoned boolean"))
+    rows = [(1, 0, None, b"k", b"old", 5, False, 1, "primary"), (2, 0, None, b"j", b"new", 5, False, 1, "primary")]
+    spark.createDataFrame(rows, LOG).write.parquet(f"{folder}/s")
+    feeds.replicate(feeds.log_stream(spark, f"{folder}/s"), store, f"{folder}/c", "m", resolve=True).awaitTermination()
+    assert {bytes(r["key"]): bytes(r["value"]) for r in store.rows().collect()} == {b"k": b"mine", b"j": b"new"}
+    assert store.highwater("m") == 2
+    store.clear_highwater("m")
+    assert store.highwater("m") == -1
+
+
+def test_ages_wait_for_their_interval(spark, folder):
+    engine = Engine(spark, folder)
+    p = engine.create("p", ttl_age_ms=1000, ttl_interval_ms=500)
+    p.commit("none", None, puts((b"a", b"1", 10_000), (b"b", b"1", 50_000)))
+    assert p.compact(now_ms=11_200) is None  # older than the age, but not by the interval yet
+    told = p.compact(now_ms=11_600)
+    assert told["ttls"] == 1 and told["keeps"] == 1 and told["bytes_before"] > 0
+    assert engine.migrate("p", "noop_persistent").store.log_only
 
 
 def test_engine(spark, folder):
@@ -207,7 +301,7 @@ def test_repair_drops_torn_commits(spark, folder):
     for i in range(3):
         store.commit(spark.createDataFrame(puts((b"k%d" % i, b"v", 1)), "key binary, value binary, ts_id bigint, tombstoned boolean"))
     assert store.validate() == []
-    shared.remove(spark, f"{folder}/data/tx={store.manifest()['commits'][1]}")
+    shared.remove(spark, f"{folder}/{store.manifest()['commits'][1]['path']}")
     assert len(store.validate()) == 1
     assert store.repair() == 2 and store.validate() == [] and store.repair() == 0
     assert [bytes(r["key"]) for r in store.state().collect()] == [b"k0"]
