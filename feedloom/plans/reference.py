@@ -155,8 +155,8 @@ def contains_keys(spark, sf_dir):
     return reads.contains_keys(w(spark, sf_dir), _PREFIX, _ASKED)
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 500 < length(text) THEN substring(text, cast(doc_id % 500 AS int) + 1, 40) END AS slice FROM documents")
-def get_offset(spark, sf_dir):
+@query("SELECT doc_id, CASE WHEN doc_id % 500 = 0 AND length(text) <= 40 THEN text WHEN doc_id % 500 < length(text) THEN substring(text, cast(doc_id % 500 AS int) + 1, 40) END AS slice FROM documents")
+def value_slices(spark, sf_dir):
     """A slice of every text, from an offset that some texts don't reach."""
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", reads.value_slice(F.col("text"), F.col("doc_id") % 500, F.lit(40)).alias("slice"))
@@ -237,11 +237,6 @@ def take_prefix_since(spark, sf_dir):
     return _cols(changes.take_prefix_since(w(spark, sf_dir), "click", 1000))
 
 
-@query(_W + f" SELECT {_COLS} FROM w")
-def take_all(spark, sf_dir):
-    return _cols(w(spark, sf_dir))
-
-
 @query(_W + f" SELECT {_COLS} FROM w WHERE tx_id > 100 AND tx_id <= (SELECT max(tx_id) FROM (SELECT tx_id FROM w WHERE tx_id > 100 ORDER BY tx_id, seq LIMIT 10))")
 def take_limit_tx_aligned(spark, sf_dir):
     """The limit is the feature: whole transactions until ten rows are there."""
