@@ -4,8 +4,9 @@ Naive Bayes from positive and unlabelled passages: windows around trusted marks
 unfilled slot, "lorem ipsum", a status line, ...) are positive, all others unlabelled, and
 expectation-maximization moves the unlabelled ones to where they belong.  A text is cut
 into overlapping windows of a few words; each is scored, and the best window decides for
-the record.  Code and quoted speech are masked before anything is read, so that naming
-such a thing isn't having it.
+the record, by a cut calibrated on texts held out.  The patterns label the fit's sample and have no
+say in the decision.  Code and quoted speech are masked before anything is read, so that
+naming such a thing isn't having it.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ import html
 import json
 import math
 import re as plain
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -173,6 +175,11 @@ _MARKS = re.compile(r"<!--.*?-->|[\u200b-\u200f\u2060\ufeff\u00ad]|(?i:__(?:" +
 _QUOTED = re.compile(
     r"""(?<!(?:[={\[]|":)\s?)(?<!\w)"[^"\n{}]{3,240}"(?!\s?[:}])|«[^«»]{2,240}»|„[^„“”]{2,240}[“”]|“[^“”]{2,240}”|(?<!')''(?!')[^'\n]{2,240}(?:'\p{L}[^'\n]{0,200}){0,4}''(?!')|(?<![={\[]\s?)(?<![\w'])'[^'\n{}]{8,240}(?:(?<=\w)'\w[^'\n]{0,200}){0,3}'(?![\w'])"""
 )
+#: Prose that names an error page or a technique, and so isn't one.
+_NAMED = plain.compile(
+    r"(?:error page|fehlerseite|page d['’]erreur|página de error) (?:shows|zeigt|montre|muestra)|(?:uses?|used|verwendet|benutzt|nutzt|utilise|usa|utiliza) (?:java ?script)(?= (?:since|seit|depuis|desde))",
+    plain.I,
+)
 _MOJIBAKE = re.compile(r"[\u00c2-\u00f4][\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,3}")
 _PART = re.compile(r"\n\s*\n|</?(?:p|h[1-6]|li|div|tr|td|body|title|html|head)\b[^<>]*>|\n(?=[|!=*#{}])", re.I)
 _DOUBLE = re.compile(r"\\n|\\t")
@@ -225,39 +232,54 @@ def _mask(quote: re.Match) -> str:
     return " ■ "
 
 
+#: What a quotation begins with.
+_SIGNS = plain.compile("[\"'«„“]")
+
+
 def passages(text: str | None) -> Iterator[str]:
     """Paragraphs, rows and headings of the visible text, on one line each, quotations masked."""
     if not text:
         return
     for part in _PART.split(visible(text)):
         if part and not part.isspace():
-            yield _QUOTED.sub(_mask, " ".join(part.split()))
+            line = " ".join(part.split())
+            if _SIGNS.search(line):
+                line = _QUOTED.sub(_mask, line)
+            yield _NAMED.sub(" ■ ", line)
 
 
-class _Kinds(dict):
+def _kind(piece: str) -> str:
     """What a word or mark is told as: itself in lower case, or its kind."""
+    if piece[0].isdigit():
+        return "▸number"
+    if piece in _VALUES:
+        return "▸value"
+    if "." in piece:
+        return "▸file" if piece.rpartition(".")[2].lower() in _FILES else "▸dotted"
+    return piece.casefold()
+
 
-    def __missing__(self, piece: str) -> str:
-        if piece[0].isdigit():
-            kind = "▸number"
-        elif piece in _VALUES:
-            kind = "▸value"
-        elif "." in piece:
-            kind = "▸file" if piece.rpartition(".")[2].lower() in _FILES else "▸dotted"
-        else:
-            kind = piece.casefold()
+class _Cached(dict):
+    """What ``make`` makes of a word, kept for the many times it comes again; a bounded number of words."""
+
+    def __init__(self, make: Callable[[str], tuple]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> tuple:
         if len(self) > 200_000:
             self.clear()
-        self[piece] = kind
-        return kind
+        made = self[word] = self.make(word)
+        return made
 
 
-_KIND = _Kinds()
+#: No piece spans a blank, so a passage's pieces are those of its words between blanks.
+_PIECES = _Cached(lambda word: tuple(map(_kind, _PIECE.findall(word))))
 
 
 def pieces(passage: str) -> list[str]:
     """Words and marks of a passage.  Numbers, dotted names, files and empty values are told by kind."""
-    return [_KIND[p] for p in _PIECE.findall(passage)]
+    return list(chain.from_iterable(map(_PIECES.__getitem__, passage.split())))
 
 
 def _searches(passage: str) -> Iterator[tuple[plain.Pattern, str]]:
@@ -281,60 +303,70 @@ def is_trusted(passage: str) -> bool:
 
 
 class ResidueModel:
-    """Weights of words and word pairs (log odds of residue), the prior odds of a window, and the mean log odds
-    from which a window is sure (``calibrated_cut``)."""
-
-    def __init__(self, words: dict[str, float], pairs: dict[str, dict[str, float]], unknown: float, prior: float, window: int, cut: float = math.inf):
-        self.words, self.pairs, self.unknown, self.prior, self.window, self.cut = words, pairs, unknown, prior, window, cut
+    """Weights of words and word pairs (log odds of residue), the prior odds of a window, and the score from which a
+    document is told to have residue (``calibrated_cut``)."""
+
+    def __init__(self, words: dict[str, float], pairs: dict[tuple[str, str], float], unknown: float, prior: float, window: int, cut: float = math.inf):
+        self.number = {w: i for i, w in enumerate(words)}
+        self.weight = np.array([*words.values(), unknown])
+        size = len(self.weight)
+        met = sorted((self.number.get(a, size - 1) * size + self.number.get(b, size - 1), v) for (a, b), v in pairs.items())
+        self.pair, self.pair_weight = np.array([k for k, _ in met] or [-1]), np.array([v for _, v in met] or [0.0])
+        self.prior, self.window, self.cut = prior, window, cut
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "ids"}
+
+    def _ids(self, passage: str) -> Iterator[int]:
+        if "ids" not in self.__dict__:
+            get, unknown = self.number.get, len(self.weight) - 1
+            self.ids = _Cached(lambda word: tuple(get(p, unknown) for p in _PIECES.make(word)))
+        return chain.from_iterable(map(self.ids.__getitem__, passage.split()))
+
+    def best_windows(self, told: Iterable[Iterable[Iterable[int]]]) -> np.ndarray:
+        """Per text (passages of numbered pieces) the log odds of its best window: 3 to ``window`` pieces, or a whole shorter
+        passage.  Minus infinity where there is none.  All windows of all texts are scored at once, by running sums."""
+        flat, ends, owners = array("q"), [], []
+        n = 0
+        for n, passages_ in enumerate(told, 1):
+            for p in passages_:
+                before = len(flat)
+                flat.extend(p)
+                if len(flat) > before:
+                    ends.append(len(flat))
+                    owners.append(n - 1)
+        best = np.full(n, -np.inf)
+        if not ends:
+            return best
+        ids, ends = np.frombuffer(flat, np.int64), np.array(ends)
+        length = np.diff(ends, prepend=0)
+        left = np.repeat(ends, length) - np.arange(len(ids))  # pieces from here to the passage's end
+        key = ids[:-1] * len(self.weight) + ids[1:]
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        beside = np.where((self.pair[at] == key) & (left[:-1] > 1), self.pair_weight[at], 0.0)
+        # One running sum over pieces and the pairs before them; a window leaves out the pair before its first piece.
+        step = self.weight[ids]
+        run = np.cumsum(step + np.concatenate([[0.0], beside]))
+        base = run - step
+        top = np.full(len(ids), -np.inf)
+        whole = np.repeat(length, length)
+        for width in range(1, self.window + 1):
+            fits = np.flatnonzero((left >= width) if width >= 3 else (left == width) & (whole == width))
+            top[fits] = np.maximum(top[fits], run[fits + width - 1] - base[fits])
+        np.maximum.at(best, np.repeat(owners, length), top)
+        return best + self.prior
+
+    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
+        """The log odds of each text's best window."""
+        return self.best_windows([self._ids(p) for p in passages(t)] for t in texts)
 
     def score(self, text: str | None) -> float:
-        """The log odds of the best window, or minus infinity if none is more likely residue than not."""
-        best = 0.0
-        get, pairs, unknown, none = self.words.get, self.pairs.get, self.unknown, {}
-        for passage in passages(text):
-            words = pieces(passage)
-            if not words:
-                continue
-            w = [get(x, unknown) for x in words]
-            p = [0.0, *[pairs(a, none).get(b, 0.0) for a, b in zip(words, words[1:])]]
-            # No window can beat the best run of any length, which one pass tells.
-            top = run = -math.inf
-            for x, y in zip(w, p):
-                run = run + x + y if run + y > 0 else x
-                if run > top:
-                    top = run
-            if self.prior + top > best:
-                best = max(best, self.prior + _best_window(w, p, self.window))
-        return best if best > 0 else -math.inf
-
-    def likeness(self, told: Iterable[list[str]]) -> float:
-        """The largest mean log odds a word or pair over the whole windows, or whole passages if shorter, that are
-        more likely residue than not, or minus infinity: unlike the score it doesn't grow with the number of words."""
-        best = -math.inf
-        get, pairs, unknown, none = self.words.get, self.pairs.get, self.unknown, {}
-        for words in told:
-            w = [get(x, unknown) for x in words]
-            p = [pairs(a, none).get(b, 0.0) for a, b in zip(words, words[1:])]
-            n = min(len(w), self.window)
-            for i in range(len(w) - n + 1 if n else 0):
-                s = sum(w[i : i + n]) + sum(p[i : i + n - 1])
-                if self.prior + s > 0:
-                    best = max(best, s / (2 * n - 1))
-        return best
-
-
-def _best_window(words: list[float], pairs: list[float], window: int) -> float:
-    """Largest sum over runs of 3 to ``window`` words, or all words if fewer, with the pairs inside the run."""
-    best, n = -math.inf, len(words)
-    if n <= 3:
-        return sum(words) + sum(pairs[1:])
-    for i in range(n - 2):
-        s = words[i] + words[i + 1] + pairs[i + 1]
-        for j in range(i + 2, min(n, i + window)):
-            s += words[j] + pairs[j]
-            if s > best:
-                best = s
-    return best
+        return float(self.scores([text])[0])
+
+    def marked_scores(self, told: list[list[tuple[list[str], str]]]) -> np.ndarray:
+        """The same for texts whose pieces are known."""
+        get, unknown = self.number.get, len(self.weight) - 1
+        return self.best_windows([[get(w, unknown) for w in words] for words, _ in passages_] for passages_ in told)
 
 
 def marked_pieces(text: str) -> list[tuple[list[str], str]]:
@@ -354,23 +386,28 @@ def fit(texts: list[str], **how) -> ResidueModel:
     return fit_marked([marked_pieces(t) for t in texts], **how)
 
 
-def fit_marked(texts: list[list[tuple[list[str], str]]], kept: float = 0.5, **how) -> ResidueModel:
-    """Fit on a sample of texts (see ``_fit_windows``), and calibrate the cut of sure windows."""
+def fit_marked(texts: list[list[tuple[list[str], str]]], kept: float = 0.99, **how) -> ResidueModel:
+    """Fit on a sample of texts (see ``_fit_windows``), and calibrate the cut on halves of it that were each held out."""
     model = _fit_windows(texts, **how)
-    model.cut = calibrated_cut(_fit_windows(texts[::2], **how), texts[1::2], kept)
+    halves = texts[::2], texts[1::2]
+    scores = np.concatenate([_fit_windows(other, **how).marked_scores(held) for held, other in (halves, halves[::-1])])
+    marked = np.array([any("1" in marks for _, marks in told) for half in halves for told in half], bool)
+    model.cut = calibrated_cut(scores[marked], kept)
     return model
 
 
-def calibrated_cut(model: ResidueModel, held_out: list[list[tuple[list[str], str]]], kept: float) -> float:
-    """The mean log odds that the share ``kept`` of the texts with a trusted mark reach in a passage with one, of
-    those in which the model, fitted on other texts, sees residue at all; infinite if there are none."""
-    marked = [[words for words, marks in told if "1" in marks] for told in held_out]
-    seen = [v for told in marked if told and (v := model.likeness(told)) > -math.inf]
-    return float(np.quantile(seen, 1 - kept)) if seen else math.inf
+#: Bounds of the cut: a chance of 0.99 and one of 0.999 that the best window is residue.
+LEAST_CUT, MOST_CUT = math.log(99), math.log(999)
+
+
+def calibrated_cut(scores: np.ndarray, kept: float) -> float:
+    """The score that the share ``kept`` of the texts with a trusted mark reach under models that didn't see them, within the
+    bounds; infinite if there are no such texts.  Texts without a mark have no say, as they may hold residue that no pattern knows."""
+    return float(np.clip(np.quantile(scores, 1 - kept), LEAST_CUT, MOST_CUT)) if len(scores) else math.inf
 
 
 def _fit_windows(
-    texts: list[list[tuple[list[str], str]]], window: int = 8, rounds: int = 4, unlabelled_weight: float = 0.25, sure: float = 0.99, smoothing: float = 1000.0, rare: int = 2
+    texts: list[list[tuple[list[str], str]]], window: int = 8, rounds: int = 4, unlabelled_weight: float = 0.25, sure: float = 0.99, smoothing: float = 1000.0, rare: int = 2, company: float = 0.4
 ) -> ResidueModel:
     """Fit on a sample of texts: trusted windows are positive, the others unlabelled.
 
@@ -389,8 +426,8 @@ def _fit_windows(
     on = np.frombuffer("".join(m for told in texts for _, m in told).encode(), np.uint8) == ord("1")
     length = np.array([len(words) for told in texts for words, _ in told])
     passage = np.repeat(np.arange(len(length)), length)
-    text = np.repeat(np.repeat(np.arange(len(texts)), [len(told) for told in texts]), length)
     beside = np.bincount(passage, on)[passage] > 0
+    text = np.repeat(np.repeat(np.arange(len(texts)), [len(told) for told in texts]), length)
 
     # Words and pairs that count: met in enough texts, or marked.
     side = passage[1:] == passage[:-1]
@@ -420,42 +457,67 @@ def _fit_windows(
     positive, beside = on[cut], (beside & ~on)[cut]
     if not positive.any():
         return ResidueModel({}, {}, -1.0, -1e9, window)
-    prior = math.log(positive.sum() / max((~positive).sum(), 1))
+    # A window that a text repeats counts once, so that one long text of a few words can't outweigh all others.
+    place = np.arange(len(word)) - np.flatnonzero(cut)[own]
+    sign = np.zeros(k, np.uint64)
+    rng = np.random.default_rng(1)
+    np.add.at(sign, own, rng.integers(1, 1 << 63, len(number), np.uint64)[word] * rng.integers(1, 1 << 63, window, np.uint64)[place])
+    once = np.zeros(k, bool)
+    once[np.unique(np.stack([text[cut].astype(np.uint64), sign]), axis=1, return_index=True)[1]] = True
+    prior = math.log((positive & once).sum() / max((~positive & once).sum(), 1))
 
     # Both classes are smoothed towards the words' frequency in all windows; a flat prior would make rare words speak for the smaller class.
-    common = (np.bincount(feature, minlength=size) + 1e-3) / (len(feature) + 1e-3 * size)
-    # To begin with, a window in one passage with a trusted one may be either; all others are taken for ordinary.
-    chance = np.where(positive, 1.0, np.where(beside, 0.5, 0.0))
+    common = np.bincount(feature, once[where], minlength=size) + 1e-3
+    common /= common.sum()
+    # To begin with, a window in one passage with a trusted one may be either if its words keep to texts with trusted marks; all
+    # others are taken for ordinary.  Without that condition whatever stands beside residue by chance, such as
+    # vandals' cries, would be drawn in and draw its like in after it.
+    pairs_of = np.unique(text[cut][where] * size + feature)
+    has_mark = np.bincount(text, on, minlength=len(texts)) > 0
+    spread_over = np.bincount(pairs_of % size, minlength=size)
+    keeps_to = np.bincount(pairs_of % size, has_mark[pairs_of // size], minlength=size) / (spread_over + 2)
+    kept_to = np.bincount(where, keeps_to[feature], minlength=k) / np.bincount(where, minlength=k)
+    chance = np.where(positive, 1.0, np.where(beside & (kept_to >= company), 0.5, 0.0))
     for turn in range(rounds):
         counts = chance >= (sure if turn else 0.5)
-        gain = np.where(positive, 1.0, np.where(counts, chance * unlabelled_weight, 0.0))
+        gain = np.where(positive, 1.0, np.where(counts, chance * unlabelled_weight, 0.0)) * once
         yes = np.bincount(feature, gain[where], minlength=size)
-        no = np.bincount(feature, np.where(positive, 0.0, 1 - chance)[where], minlength=size)
+        no = np.bincount(feature, (np.where(positive, 0.0, 1 - chance) * once)[where], minlength=size)
         odds = np.log((yes + smoothing * common) / (yes.sum() + smoothing)) - np.log((no + smoothing * common) / (no.sum() + smoothing))
         odds[unknown] = min(odds[unknown], 0.0)
         total = np.bincount(where, odds[feature], minlength=k) + prior
         chance = np.where(positive, 1.0, 1 / (1 + np.exp(-np.clip(total, -30, 30))))
     names = list(number)
-    following: dict[str, dict[str, float]] = defaultdict(dict)
+    following = {}
     for i in np.flatnonzero(pair_kept):
         first, second = divmod(int(met[i]), len(number))
-        following[names[first]][names[second]] = float(odds[pair_at[i]])
+        if word_kept[first] and word_kept[second]:
+            following[names[first], names[second]] = float(odds[pair_at[i]])
     kept = {names[i]: float(odds[word_at[i]]) for i in np.flatnonzero(word_kept)}
-    return ResidueModel(kept, dict(following), float(odds[unknown]), prior, window)
+    return ResidueModel(kept, following, float(odds[unknown]), prior, window)
+
+
+def total_chars(documents: DataFrame, text: str) -> int:
+    return documents.agg(F.sum(F.length(text).cast("bigint"))).first()[0] or 0
+
+
+def sample_below(total: int, wanted: int) -> int:
+    """The signed 64-bit hash below which a row is in the sample: the share ``wanted`` / ``total`` of all hashes."""
+    return (wanted << 64) // total - (1 << 63)
 
 
 def fit_on(documents: DataFrame, text: str = "text", key: str = "doc_id", fit_chars: int = 6_000_000) -> ResidueModel:
     """Fit on a bounded sample: documents whose hash of key and text falls below the share that makes ``fit_chars``
     characters.  Each task stops after its part of twice as many, so that repeated rows can't fill the driver.
 
-    This is the only sample; it feeds the classifier and nothing else.  The executors read its
+    Texts longer than ``fit_chars`` aren't fitted on, but scored like all others.  Without any trusted mark in the sample the
+    model finds nothing.  This is the only sample; it feeds the classifier and nothing else.  The executors read its
     texts and send words and marks, about as long as the texts, to the driver.
     """
-    total = documents.agg(F.sum(F.length(text).cast("bigint"))).first()[0] or 0
-    share = min(1.0, fit_chars / max(total, 1))
+    total = total_chars(documents, text)
     picked = documents.where((F.length(text) > 0) & (F.length(text) <= fit_chars))
-    if share < 1:
-        picked = picked.where(F.xxhash64(key, text) < F.lit(int(share * 2**64) - 2**63).cast("bigint"))
+    if total > fit_chars:
+        picked = picked.where(F.xxhash64(key, text) < F.lit(sample_below(total, fit_chars)).cast("bigint"))
     tasks = documents.sparkSession.sparkContext.defaultParallelism
 
     @F.pandas_udf("array<struct<words:string, marks:string>>")
@@ -475,26 +537,25 @@ def fit_on(documents: DataFrame, text: str = "text", key: str = "doc_id", fit_ch
 
 
 def residue_scores(documents: DataFrame, model: ResidueModel, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key``, ``score`` (log odds of the best passage, null if none is likely residue) and ``confirmed``.
+    """``key``, ``score`` (log odds of the best window of words, null if none is more likely residue than not) and
+    ``found``: whether it reaches the model's cut.
 
-    A score is confirmed if the visible text holds a trusted mark, or if a window's mean log odds reach
-    the model's cut, so that residue worded in other ways is kept and a chance likeness isn't.
-    Null and empty texts, and texts of code and quotations only, score null and aren't confirmed.
+    Null and empty texts, and texts of code and quotations only, score null and aren't found.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<score:double, confirmed:boolean>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = sent.value
         for s in batches:
-            scores = [m.score(t) for t in s]
-            sure = [v > 0 and (any(map(is_trusted, passages(t))) or m.likeness(map(pieces, passages(t))) >= m.cut) for v, t in zip(scores, s)]
-            yield pd.DataFrame({"score": pd.Series([v if v > 0 else None for v in scores], dtype="float64"), "confirmed": pd.Series(sure, dtype="bool")})
+            best = m.scores(s)
+            yield pd.Series(best).mask(best <= 0)
 
-    return spread(documents.select(key, text)).select(key, score(F.col(text)).alias("r")).select(key, "r.score", "r.confirmed")
+    scored = spread(documents.select(key, text)).select(key, score(F.col(text)).alias("score"))
+    return scored.select(key, "score", F.coalesce(F.col("score") >= model.cut, F.lit(False)).alias("found"))
 
 
 def find_residue(documents: DataFrame, text: str = "text", key: str = "doc_id", fit_chars: int = 6_000_000) -> DataFrame:
-    """Keys of the documents with residue; repeated rows come repeatedly, null and empty texts never."""
+    """Keys of the documents with residue, as the classifier decides; repeated rows come repeatedly, null and empty texts never."""
     model = fit_on(documents, text, key, fit_chars)
-    return residue_scores(documents, model, text, key).where("confirmed").select(key)
+    return residue_scores(documents, model, text, key).where("found").select(key)
