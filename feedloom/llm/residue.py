@@ -245,7 +245,10 @@ def passages(text: str | None) -> Iterator[str]:
             line = " ".join(part.split())
             if _SIGNS.search(line):
                 line = _QUOTED.sub(_mask, line)
-            yield _NAMED.sub(" ■ ", line)
+            low = line.lower()
+            if "script" in low or "err" in low or "fehl" in low:  # what all of its wordings hold
+                line = _NAMED.sub(" ■ ", line)
+            yield line
 
 
 def _kind(piece: str) -> str:
@@ -315,7 +318,7 @@ class ResidueModel:
         self.prior, self.window, self.cut = prior, window, cut
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "ids"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "known")}
 
     def _ids(self, passage: str) -> Iterator[int]:
         if "ids" not in self.__dict__:
@@ -357,8 +360,16 @@ class ResidueModel:
         return best + self.prior
 
     def scores(self, texts: Iterable[str | None]) -> np.ndarray:
-        """The log odds of each text's best window."""
-        return self.best_windows([self._ids(p) for p in passages(t)] for t in texts)
+        """The log odds of each text's best window.  Passages met again, as in revisions of one page, are scored once."""
+        known: dict[str, float] = self.__dict__.setdefault("known", {})
+        if len(known) > 50_000:
+            known.clear()
+        told = [list(passages(t)) for t in texts]
+        fresh = list(dict.fromkeys(p for held in told for p in held if p not in known))
+        now = dict(zip(fresh, self.best_windows([self._ids(p)] for p in fresh).tolist()))
+        out = np.array([max((now[p] if p in now else known[p] for p in held), default=-math.inf) for held in told])
+        known.update((p, v) for p, v in now.items() if len(p) < 1000)
+        return out
 
     def score(self, text: str | None) -> float:
         return float(self.scores([text])[0])
