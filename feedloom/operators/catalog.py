@@ -101,10 +101,17 @@ def in_name_order(catalog: DataFrame) -> DataFrame:
     return catalog.orderBy("is_system", "ring_name", "partition_name")
 
 
-def route(catalog: DataFrame, rings: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Per partition: its members in order with their hosts, and whether it is marked for disposal."""
+def route(catalog: DataFrame, rings: DataFrame, nodes: DataFrame, leaders: DataFrame | None = None) -> DataFrame:
+    """Per partition: its members in order with their hosts, its leader (of ``leaders`` partition_name, leader; null if none or
+    not of its ring), and whether it is marked for disposal."""
     seats = ring_lookup(rings, nodes).groupBy("ring_name").agg(F.sort_array(F.collect_list(F.struct("ring_member", "host"))).alias("members"))
-    return catalog.join(seats, "ring_name", "left").select("partition_name", "ring_name", "members", F.col("disposal_version").isNotNull().alias("disposed"))
+    told = catalog.join(seats, "ring_name", "left")
+    if leaders is None:
+        told = told.withColumn("leader", F.lit(None).cast("string"))
+    else:
+        told = told.drop("leader").join(leaders.groupBy("partition_name").agg(F.max("leader").alias("leader")), "partition_name", "left")
+    mine = F.exists(F.coalesce("members", F.array()), lambda m: m["ring_member"] == F.col("leader"))
+    return told.select("partition_name", "ring_name", "members", F.when(mine, F.col("leader")).alias("leader"), F.col("disposal_version").isNotNull().alias("disposed"))
 
 
 def highwater_max(marks: DataFrame, by: Sequence[str], tx: str) -> DataFrame:

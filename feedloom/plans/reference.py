@@ -494,11 +494,13 @@ def member_partitions(spark, sf_dir):
 
 @query(
     """WITH h AS (SELECT ring_member, max(host) AS h FROM ring_members GROUP BY 1), s AS (SELECT ring_name, string_agg(ring_member || '=' || coalesce(h, 'unknownRingHost'), ',' ORDER BY ring_member) AS members FROM (SELECT DISTINCT ring_name, ring_member FROM ring_members) JOIN h USING (ring_member) GROUP BY 1)
-SELECT partition_name, ring_name, members, disposal_version IS NOT NULL AS disposed FROM partition_info LEFT JOIN s USING (ring_name)"""
+SELECT partition_name, p.ring_name, members, r.ring_member AS leader, disposal_version IS NOT NULL AS disposed FROM partition_info p LEFT JOIN s USING (ring_name)
+LEFT JOIN (SELECT DISTINCT ring_name, ring_member FROM ring_members) r ON r.ring_name = p.ring_name AND r.ring_member = p.first_member"""
 )
 def partition_routes(spark, sf_dir):
     r = table(spark, sf_dir, "ring_members")
-    told = catalog.route(table(spark, sf_dir, "partition_info"), r, r)
+    parts = table(spark, sf_dir, "partition_info")
+    told = catalog.route(parts, r, r, parts.select("partition_name", F.col("first_member").alias("leader")))
     return told.withColumn("members", F.array_join(F.transform("members", lambda m: F.concat(m["ring_member"], F.lit("="), m["host"])), ","))
 
 

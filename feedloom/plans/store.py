@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.client import Engine, StringMap
+from feedloom.client import Engine, StringMap, puts
 from feedloom.functions.keys import norm_prefix
 from feedloom.operators import catalog, changes, consistency, inspect, reads, resolve, retention, sync
 from feedloom.operators.prefix_scan import prefix_scan
@@ -467,6 +467,66 @@ def member_states(spark, sf_dir):
     return consistency.member_state(states)
 
 
+@query("SELECT max(n) AS n FROM (SELECT ring_member, count(DISTINCT (partition_name, coalesce(prefix, ''), row_key)) AS n FROM member_rows GROUP BY 1)")
+def replica_counts(spark, sf_dir):
+    """The approximate count over replicas: the largest of the members' key counts."""
+    rows = table(spark, sf_dir, "member_rows").select("ring_member", "partition_name", norm_prefix("prefix").alias("prefix"), "row_key").distinct()
+    return reads.replica_count(rows.groupBy("ring_member").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(
+    f"""SELECT partition_name, CASE WHEN ttl_age_ms > 0 THEN {CLOCK} - ttl_age_ms ELSE 0 END AS ttl_cut, CASE WHEN ttl_age_ms > 0 THEN {CLOCK} - ttl_age_ms - ttl_age_ms // 10 ELSE 0 END AS ttl_check,
+  CASE WHEN tombstone_age_ms > 0 THEN ({CLOCK} - tombstone_age_ms) * 4096 ELSE 0 END AS tombstone_version_cut FROM partition_info"""
+)
+def age_cutoffs(spark, sf_dir):
+    """From what ages partitions are compacted, and from what they are looked at: an interval of a tenth of the age later."""
+    rows = []
+    for r in table(spark, sf_dir, "partition_info").collect():  # the catalog
+        ttl, dead = r.ttl_age_ms or 0, r.tombstone_age_ms or 0
+        ages = retention.Ages(ttl_ts=ttl, ttl_ts_interval=ttl // 10, tombstone_version=dead)
+        rows.append((r.partition_name, ages.cutoffs(CLOCK).ttl_ts, ages.cutoffs(CLOCK, checking=True).ttl_ts, ages.cutoffs(CLOCK).tombstone_version))
+    return spark.createDataFrame(rows, "partition_name string, ttl_cut bigint, ttl_check bigint, tombstone_version_cut bigint")
+
+
+@query(
+    """SELECT r_name AS partition_name, CASE r_regionkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) END AS live, r_regionkey % 3 <> 2 AS composted, r_regionkey % 3 <> 0 AS there FROM region"""
+)
+def engine_maintenance(spark, sf_dir):
+    """Partitions by region with their nations: some destroyed, some abandoned for a next version, and their files composted."""
+    engine = Engine(spark, shared.scratch(spark, "engine"))
+    nation = table(spark, sf_dir, "nation").collect()  # 25 rows
+    regions = {r.r_regionkey: r.r_name for r in table(spark, sf_dir, "region").collect()}
+    for number, name in regions.items():
+        mine = [(n.n_name.encode(), b"x") for n in nation if n.n_regionkey == number]
+        engine.create(name).commit("none", None, puts(*mine))
+        if number % 3 == 0:
+            engine.destroy(name)
+        elif number % 3 == 1:
+            engine.abandon_version(name)
+    engine.merge_all()
+    gone = {path.partition("/")[0] for path in engine.compost()}
+    there = set(engine.names())
+    return spark.createDataFrame([(n, engine.partition(n).count() if n in there else 0, n in gone, n in there) for n in regions.values()], "partition_name string, live bigint, composted boolean, there boolean")
+
+
+@query(_F + f", l AS (SELECT * FROM f {_LWW}) SELECT key, unnest(string_split(key, '/')) AS part FROM l WHERE NOT tombstoned AND ts_id > 0")
+def scan_filtered_many(spark, sf_dir):
+    """A filter that drops rows and makes several of others."""
+    parts = lambda rows: rows.where("ts_id > 0").select("key", F.explode(F.split("key", "/")).alias("part"))
+    return reads.scan_filtered(resolve.lww(flog(spark, sf_dir)), parts)
+
+
+@query(
+    _F
+    + """, r AS (SELECT *, CASE WHEN tombstoned IS DISTINCT FROM lag(tombstoned) OVER (ORDER BY tx_id, seq) OR seq % 1000 = 0 THEN 1 ELSE 0 END AS b FROM f), n AS (SELECT *, sum(b) OVER (ORDER BY tx_id, seq) AS run FROM r)
+SELECT run - min(run) OVER () AS run, tombstoned, start_tx, n FROM (SELECT cast(run AS bigint) AS run, bool_or(tombstoned) AS tombstoned, min(tx_id) AS start_tx, count(*) AS n FROM n GROUP BY 1)"""
+)
+def feed_runs(spark, sf_dir):
+    """The whole feed's runs of puts and of deletes in one line, a new one at every thousandth delivery."""
+    told = inspect.log_runs(flog(spark, sf_dir), [], "tombstoned", F.lit(1), F.col("seq") % 1000 == 0)
+    return told.select("run", "tombstoned", "start_tx", "n")
+
+
 @query("SELECT n_name AS key, r_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 0")
 def string_map(spark, sf_dir):
     """A map of nations to regions, some of them removed again."""
