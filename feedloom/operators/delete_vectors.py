@@ -10,14 +10,16 @@ Bitmaps are kept in words of 64 positions, and only words with a bit set exist.
 index run, one row per key it holds with the place that stands now and the place that lost, and the
 words it sets, nothing of what was there before; runs and words are merged when there are more than
 ``merge_at``.  Runs lie in folders by hash prefix of the key (``shelf``), so that a small batch opens
-only the shelves of its keys.  Layout below ``root``: ``data/<version>`` (images), ``v<n>/index``,
-``v<n>/words``, ``batch/<id>`` and ``manifest/<n>``, written last.  A batch that failed before its
-manifest is simply applied again; one with a manifest is skipped.
+only the shelves of its keys.  Layout below ``root``: ``data/<tag>`` (images), ``runs/<tag>/index``,
+``runs/<tag>/words``, ``batch/<id>`` and ``manifest/<n>``, written last; a tag is the version and a number of the
+writer's own.  A batch that failed before its manifest is simply applied again; one with a manifest is skipped;
+of two writers one loses at the manifest and gets a Conflict.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 import xxhash
@@ -108,7 +110,8 @@ class DeleteVectorTable:
         if not isinstance(batch, DataFrame):
             batch = self.spark.read.parquet(*([batch] if isinstance(batch, str) else batch))
         version = now["version"] + 1
-        here, data = f"{self.root}/v{version}", f"{self.root}/data/{version}"
+        tag = f"{version}-{uuid.uuid4().hex[:16]}"
+        here, data = f"{self.root}/runs/{tag}", f"{self.root}/data/{tag}"
         self._images(batch).write.mode("overwrite").parquet(data)
         files = self.spark.read.schema(batch.schema).parquet(data).inputFiles()  # this batch's only
         if len(set(map(_number, files))) < len(files):
@@ -136,7 +139,7 @@ class DeleteVectorTable:
             bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("pos") % 64).cast("int"))
             words = lost.groupBy("batch", "file", _word(F.col("pos")).alias("word")).agg(F.call_function("bit_or", bit).alias("bits"))
             words.write.mode("overwrite").parquet(f"{here}/words")
-        state = {"data": [*now["data"], version], "runs": [*now["runs"], version], "bits": bits, "schema": now["schema"] or batch.schema.json()}
+        state = {"data": [*now["data"], tag], "runs": [*now["runs"], tag], "bits": bits, "schema": now["schema"] or batch.schema.json()}
         self.manifests.commit(now, state, batch_id)
         if len(now["runs"]) + 1 > self.merge_at:
             self.merge()
@@ -164,7 +167,7 @@ class DeleteVectorTable:
         schema = T.StructType().add("hi", T.LongType()).add("lo", T.LongType()).add("at", place)
         if state["bits"]:
             schema = schema.add("shelf", T.IntegerType())
-        runs = [self.spark.read.schema(schema).parquet(f"{self.root}/v{r}/index") for r in state["runs"]]
+        runs = [self.spark.read.schema(schema).parquet(f"{self.root}/runs/{r}/index") for r in state["runs"]]
         out = runs[0]
         for r in runs[1:]:
             out = out.unionByName(r)
@@ -175,17 +178,18 @@ class DeleteVectorTable:
         now = self.manifests.newest()
         if len(now["runs"]) < 2:
             return
-        here = f"{self.root}/v{now['version'] + 1}"
-        bits = self._bits_for(sum(shared.sizes(self.spark, f"{self.root}/v{r}/index") for r in now["runs"]))
+        tag = f"{now['version'] + 1}-{uuid.uuid4().hex[:16]}"
+        here = f"{self.root}/runs/{tag}"
+        bits = self._bits_for(sum(shared.sizes(self.spark, f"{self.root}/runs/{r}/index") for r in now["runs"]))
         place = self._placed(f"{self.root}/data/{now['data'][0]}", T.StructType.fromJson(json.loads(now["schema"])), 0).schema["new"].dataType
         best = self._index(now, place).groupBy("hi", "lo").agg(F.max("at").alias("at"))
         self._write_run(best, f"{here}/index", bits)
         self._words(now).write.mode("overwrite").parquet(f"{here}/words")
-        self.manifests.commit(now, {"runs": [now["version"] + 1], "bits": bits})
+        self.manifests.commit(now, {"runs": [tag], "bits": bits})
 
     def _words(self, now: dict) -> DataFrame:
         schema = "batch int, file bigint, word bigint, bits bigint"
-        paths = [p for r in now["runs"] if shared.exists(self.spark, p := f"{self.root}/v{r}/words")]
+        paths = [p for r in now["runs"] if shared.exists(self.spark, p := f"{self.root}/runs/{r}/words")]
         if not paths:
             return self.spark.createDataFrame([], schema)
         words = self.spark.read.schema(schema).parquet(*paths)
@@ -210,8 +214,9 @@ class DeleteVectorTable:
         if sum(loads.values()) <= most:
             groups.append(([f"{self.root}/data/{v}" for v in now["data"]], sum(loads.values()), []))
         else:
-            for v in now["data"]:
-                for f in self.spark.read.schema(schema).parquet(f"{self.root}/data/{v}").inputFiles():
+            for tag in now["data"]:
+                v = int(tag.partition("-")[0])
+                for f in self.spark.read.schema(schema).parquet(f"{self.root}/data/{tag}").inputFiles():
                     n = loads.get((v, _number(f)), 0)
                     if groups and groups[-1][1] + n <= most and groups[-1][2] == [v]:
                         groups[-1] = ([*groups[-1][0], f], groups[-1][1] + n, [v])

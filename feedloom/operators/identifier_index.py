@@ -10,6 +10,7 @@ becomes a run of its own.  Runs are merged into one when there are more than ``m
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -154,7 +155,7 @@ class IdentifierIndex:
         if now["runs"] and (cut := self._shelf_bits(bits)):
             one = shared.materialize(one, "offered")
             touched = [r[0] for r in one.select(F.shiftright("bucket", bits - cut)).distinct().collect()]  # at most 2**SHELF_BITS
-        run = f"run-{now['version'] + 1}"
+        run = f"run-{now['version'] + 1}-{uuid.uuid4().hex[:16]}"
         novel = one.groupBy("bucket").cogroup(self._read(now, touched).groupBy("bucket")).applyInArrow(_novel, _RUN)
         self._write(novel, bits, run)
         self.manifests.commit(now, {"runs": [*now["runs"], run]}, batch_id)
@@ -169,7 +170,7 @@ class IdentifierIndex:
         runs = self._read(now)
         held = runs.agg(F.sum(F.size("kept").cast("bigint"))).first()[0] or 0
         by = max(0, self.bits_for(held, self.per_array) - now["bits"])
-        run, bits = f"run-{now['version'] + 1}", now["bits"] + by
+        run, bits = f"run-{now['version'] + 1}-{uuid.uuid4().hex[:16]}", now["bits"] + by
         merged = runs.withColumn("bits", F.lit(now["bits"])).groupBy("bucket").applyInArrow(_merge_to(by), _RUN)
         self._write(merged, bits, run)
         self.manifests.commit(now, {"runs": [run], "bits": bits})

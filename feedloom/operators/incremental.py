@@ -72,7 +72,7 @@ def uncovered(log: DataFrame, consumers: DataFrame, covers: DataFrame, consumer:
 
 
 class CaptureJob:
-    """Batches of a log with a plan written ahead, below ``root``.
+    """Batches of a log with a plan written ahead, below ``root``; one job runs at a time.
 
     ``partition`` and ``position`` tell where a log row lies: positions rise with delivery within a partition.
     ``key`` and ``offset`` name what identifies a record in the sink.  Layout: ``planned/<n>`` (ranges per
