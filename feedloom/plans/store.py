@@ -224,9 +224,11 @@ def store_compaction(spark, sf_dir):
 
 
 def _appended(spark: SparkSession, sf_dir: str, merge: bool) -> LogStore:
-    """A store with the feed's rows under their own transactions; the first half merged into the base if asked."""
+    """A store with the feed's rows under their own transactions; the first half merged into the base if asked or if that is due."""
     store = LogStore(spark, shared.scratch(spark, "log"))
     for part in halves(flog(spark, sf_dir)):
+        if store.mergeable():
+            store.merge()
         store.append(binary(part))
         if merge and not store.manifest()["base"]:
             store.merge()

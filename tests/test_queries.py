@@ -1,10 +1,12 @@
 """Every registered query against its SQL on the smallest given tables; without SQL, that it runs."""
 
+import functools
 import os
 
 import pytest
 
 import __spark_entry__
+from feedloom.plans import store
 
 SF = os.environ.get("FEEDLOOM_TEST_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -36,6 +38,13 @@ def test_query(spark, duck, name):
         assert lines(got) == lines(want)
 
 
+def test_repair_of_a_log_whose_first_half_is_more_than_may_wait(spark, duck, monkeypatch):
+    first = duck.sql("SELECT count(*) FROM feed_rows WHERE delivery_id < (SELECT min(delivery_id) + (max(delivery_id) - min(delivery_id) + 2) // 2 FROM feed_rows)").fetchall()[0][0]
+    monkeypatch.setattr(store, "LogStore", functools.partial(store.LogStore, merge_after=first // 2))
+    got = __spark_entry__.queries()["store_repair"](spark, SF).toArrow()
+    assert lines(got) == lines(duck.sql(__spark_entry__.oracle_sql()["store_repair"]).to_arrow_table())
+
+
 def test_entry(spark):
     if os.path.isdir("/root/testdata/sf0.001"):
         assert __spark_entry__.entry(spark).count() > 0
